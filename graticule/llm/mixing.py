@@ -60,10 +60,10 @@ def split_budget(nodes: DataFrame, parent: list[str], budget: str, weight: str,
     filled = open_.withColumn("_left", F.col(budget).cast(DEC) - F.coalesce(F.sum(capacity).over(before), F.lit(0)).cast(DEC)).withColumn("_weights", F.sum(weight).over(rest).cast(DEC))
     part = F.expr(f"(greatest(_left, cast(0 as {DEC})) * cast({weight} as decimal(18,0))) div _weights")
     filled = filled.withColumn("_part", part.cast("bigint"))
-    # below the first child that is not full the level is fixed by that child's rest
+    # the first child that is not full has the most left and the most weight: its level holds for all after it
     level = W.Window.partitionBy(*parent).orderBy("_fill").rowsBetween(W.Window.unboundedPreceding, W.Window.unboundedFollowing)
     is_open = F.col("_part") < F.col(capacity)
-    filled = filled.withColumn("_l", F.min(F.when(is_open, F.col("_left"))).over(level)).withColumn("_w", F.max(F.when(is_open, F.col("_weights"))).over(level))
+    filled = filled.withColumn("_l", F.max(F.when(is_open, F.col("_left"))).over(level)).withColumn("_w", F.max(F.when(is_open, F.col("_weights"))).over(level))
     share = F.when(is_open, F.expr(f"(greatest(_l, cast(0 as {DEC})) * cast({weight} as decimal(18,0))) div _w").cast("bigint")).otherwise(F.col(capacity))
     return filled.withColumn("share", F.coalesce(share, F.lit(0).cast("bigint"))).drop("_fill", "_left", "_weights", "_part", "_l", "_w")
 
