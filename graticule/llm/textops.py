@@ -85,7 +85,7 @@ def slices(column: pa.Array | pa.ChunkedArray, size: int = SLICE) -> Iterator[tu
     _, where, data = column.buffers()
     offsets = np.frombuffer(where, dtype=np.int64 if large else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     if column.null_count:
-        column = pa.compute.fill_null(column, "")
+        column = column.fill_null("")
         yield from slices(column, size)
         return
     data = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, dtype=np.uint8)
