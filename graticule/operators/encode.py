@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import encoders as E
 from ..functions import geometry as G
+from ..functions.binding import let
 from ..functions.similarity import similarity
 from ..schemas import EVENT, WORD
 
@@ -38,6 +39,11 @@ def word(flags: Column) -> Column:
     return F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseOR(b))
 
 
+def event_of(flags: Column) -> Column:
+    """``event`` of booleans that take work to compute."""
+    return let(flags, event)
+
+
 def event(flags: Column) -> Column:
     """Up to 96 booleans as an event."""
     return F.struct(word(F.slice(flags, 1, WORD)).alias("lo"), word(F.slice(flags, WORD + 1, WORD)).alias("hi"))
@@ -53,30 +59,33 @@ def encode_images(samples: DataFrame, rows: int, columns: int, multiplier: float
     factor = E.check_multiplier(multiplier)
     high, wide = G.grid_shape(rows, columns)
     members = G.members(G.grid_cells(rows, columns), high * wide)
-    prepared = samples.withColumns({"_sums": pool_sums(F.col("pixels"), members), "_cut": image_mean(F.col("pixels")) * F.lit(factor)})
-    return prepared.withColumn(into, event(_reached(F.col("_sums"), [len(m) for m in members], F.col("_cut")))).drop("_sums", "_cut")
+    counts = [len(m) for m in members]
+    found = lambda pixels: let(image_mean(pixels) * F.lit(factor), lambda cut: event_of(_reached(pool_sums(pixels, members), counts, cut)))
+    return samples.withColumn(into, let(F.col("pixels"), found))
 
 
 def encode_tiles(samples: DataFrame, into: str = "tiles") -> DataFrame:
     """28x28 ``samples`` with the array of their four tile events."""
-    size = G.TILE_ROWS * G.TILE_COLUMNS
-    prepared = samples.withColumn("_mean", image_mean(F.col("pixels")))
-    events = []
-    for tile in range(4):
-        members = G.members(G.tile_cells(tile), size)
-        prepared = prepared.withColumn(f"_sums{tile}", pool_sums(F.col("pixels"), members))
-        flags = lambda f, t=tile, m=members: word(_reached(F.col(f"_sums{t}"), [len(x) for x in m], F.col("_mean") * f))
-        events.append(F.struct(flags(G.TILE_LOW).alias("lo"), flags(G.TILE_HIGH).alias("hi")))
-    return prepared.withColumn(into, F.array(*events)).drop("_mean", *[f"_sums{t}" for t in range(4)])
+    members = [G.members(G.tile_cells(tile), G.TILE_ROWS * G.TILE_COLUMNS) for tile in range(4)]
+
+    def tile(pixels: Column, mean: Column, cells: list[list[int]]) -> Column:
+        counts = [len(x) for x in cells]
+        return let(pool_sums(pixels, cells), lambda sums: F.struct(*[word(_reached(sums, counts, mean * f)).alias(name) for name, f in (("lo", G.TILE_LOW), ("hi", G.TILE_HIGH))]))
+
+    events = lambda pixels: let(image_mean(pixels), lambda mean: F.array(*[tile(pixels, mean, m) for m in members]))
+    return samples.withColumn(into, let(F.col("pixels"), events))
 
 
 def patch_events(samples: DataFrame, into: str = "patches") -> DataFrame:
     """28x28 ``samples`` with the array of 16 events of their lit patch pixels."""
     starts = [(r * G.PATCH) * G.SIDE + c * G.PATCH for r in range(G.PATCHES) for c in range(G.PATCHES)]
     members = [[s + r * G.SIDE + c for r in range(G.PATCH) for c in range(G.PATCH)] for s in starts]
-    prepared = samples.withColumn("_cut", image_mean(F.col("pixels")) * G.PATCH_FACTOR)
-    lit = lambda i: (F.get("pixels", i).cast("double") >= F.col("_cut")) & (F.get("pixels", i) != 0)
-    return prepared.withColumn(into, F.transform(_constant(members), lambda cell: event(F.transform(cell, lit)))).drop("_cut")
+
+    def events(pixels: Column, cut: Column) -> Column:
+        lit = lambda i: (F.get(pixels, i).cast("double") >= cut) & (F.get(pixels, i) != 0)
+        return F.transform(_constant(members), lambda cell: event_of(F.transform(cell, lit)))
+
+    return samples.withColumn(into, let(F.col("pixels"), lambda pixels: let(image_mean(pixels) * G.PATCH_FACTOR, lambda cut: events(pixels, cut))))
 
 
 def detector_scores(patch: Column, kind: str = "iou") -> Column:
@@ -92,7 +101,7 @@ def encode_patches(samples: DataFrame, kind: str = "iou", cut: float = G.DETECTO
     """28x28 ``samples`` with the event of their patch channel."""
     found = patch_events(samples, "_patches")
     flags = F.flatten(F.transform("_patches", lambda p: F.transform(detector_scores(p, kind), lambda s: s >= cut)))
-    return found.withColumn(into, event(flags)).drop("_patches")
+    return found.withColumn(into, event_of(flags)).drop("_patches")
 
 
 def encode_features(samples: DataFrame, ink: int = G.INK, kind: str = "iou", into: str = "features") -> DataFrame:
@@ -124,9 +133,15 @@ def encode_images_batch(samples: DataFrame, rows: int, columns: int, multiplier:
 def encode_features_batch(samples: DataFrame, dx: Column | None = None, dy: Column | None = None, ink: int = G.INK, kind: str = "iou", into: str = "features") -> DataFrame:
     """As ``encode_features``, by numpy over Arrow batches, with an extra shift for each row."""
 
-    def run(pixels: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
-        out = E.encode_features(_matrix(pixels, G.SIDE**2), x.to_numpy(), y.to_numpy(), ink, kind)
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, 5 * len(out) + 1, 5), pa.int32()), _events(out.reshape(-1, 2)))
+    def run(batches):
+        for batch in batches:
+            x, y = (batch.column(c).to_numpy() for c in ("_dx", "_dy"))
+            out = E.encode_features(_matrix(batch.column("pixels"), G.SIDE**2), x, y, ink, kind)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 5 * len(out) + 1, 5), pa.int32()), _events(out.reshape(-1, 2)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], lists], names=[*names, into])
 
+    names = samples.columns
+    schema = T.StructType([*samples.schema.fields, T.StructField(into, T.ArrayType(EVENT))])
     zero = F.lit(0)
-    return samples.withColumn(into, F.arrow_udf(run, T.ArrayType(EVENT))(F.col("pixels"), dx if dx is not None else zero, dy if dy is not None else zero))
+    shifted = samples.withColumns({"_dx": dx if dx is not None else zero, "_dy": dy if dy is not None else zero})
+    return shifted.mapInArrow(run, schema)

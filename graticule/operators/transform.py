@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from ..functions.geometry import AUGMENT, INK
 from ..schemas import Split
 
@@ -48,11 +49,16 @@ def explode_pixels(samples: DataFrame) -> DataFrame:
 
 def ink_box(samples: DataFrame, ink: int = INK) -> DataFrame:
     """``samples`` with top, bottom, left, right of the pixels above ``ink``; nulls without any."""
+    columns = F.col("columns")
+
+    def box(at: Column) -> Column:
+        rows = F.transform(at, lambda i: F.floor(i / columns).cast("int"))
+        across = F.transform(at, lambda i: (i % columns).cast("int"))
+        return F.struct(F.array_min(rows).alias("top"), F.array_max(rows).alias("bottom"), F.array_min(across).alias("left"), F.array_max(across).alias("right"))
+
     at = F.filter(F.transform("pixels", lambda p, i: F.when(p > ink, i)), lambda i: i.isNotNull())
-    lit = samples.withColumn("_at", at)
-    row = F.transform("_at", lambda i: F.floor(i / F.col("columns")).cast("int"))
-    column = F.transform("_at", lambda i: (i % F.col("columns")).cast("int"))
-    return lit.withColumns({"top": F.array_min(row), "bottom": F.array_max(row), "left": F.array_min(column), "right": F.array_max(column)}).drop("_at")
+    found = samples.withColumn("_box", let(at, box))
+    return found.withColumns({k: F.col(f"_box.{k}") for k in ("top", "bottom", "left", "right")}).drop("_box")
 
 
 def centering_shift(samples: DataFrame, ink: int = INK, dx: Column | int = 0, dy: Column | int = 0) -> DataFrame:
@@ -66,15 +72,18 @@ def centering_shift(samples: DataFrame, ink: int = INK, dx: Column | int = 0, dy
 
 def translate(samples: DataFrame, down: str = "down", across: str = "across") -> DataFrame:
     """``samples`` with every pixel moved; what leaves the frame is lost and 0 fills in."""
-    n = F.col("rows") * F.col("columns")
+    size = F.struct("rows", "columns", F.col(down).alias("down"), F.col(across).alias("across"), "pixels")
+
+    def move(x: Column) -> Column:
+        def pixel(i: Column) -> Column:
+            r = F.floor(i / x["columns"]).cast("int") - x["down"]
+            c = (i % x["columns"]).cast("int") - x["across"]
+            inside = (r >= 0) & (r < x["rows"]) & (c >= 0) & (c < x["columns"])
+            return F.when(inside, F.get(x["pixels"], r * x["columns"] + c)).otherwise(F.lit(0))
 
-    def pixel(i: Column) -> Column:
-        r = F.floor(i / F.col("columns")).cast("int") - F.col(down)
-        c = (i % F.col("columns")).cast("int") - F.col(across)
-        inside = (r >= 0) & (r < F.col("rows")) & (c >= 0) & (c < F.col("columns"))
-        return F.when(inside, F.get("pixels", r * F.col("columns") + c)).otherwise(F.lit(0))
+        return F.transform(F.sequence(F.lit(0), x["rows"] * x["columns"] - 1), pixel)
 
-    return samples.withColumn("pixels", F.transform(F.sequence(F.lit(0), n - 1), pixel))
+    return samples.withColumn("pixels", let(size, move))
 
 
 def center(samples: DataFrame, ink: int = INK, dx: Column | int = 0, dy: Column | int = 0) -> DataFrame:

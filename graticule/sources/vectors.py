@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from ..schemas import SAMPLES
 
 SCALE = 510.0
@@ -26,7 +27,7 @@ def vector_samples(vectors: DataFrame, rows: int = 8, columns: int = 8, id_col:
 def enlarge(samples: DataFrame, rows: int, columns: int, side: int = 28) -> DataFrame:
     """Samples of rows x columns brought to side x side by the nearest pixel."""
     source = F.array(*[F.lit(r * rows // side * columns + c * columns // side) for r in range(side) for c in range(side)])
-    return samples.withColumns({"pixels": F.transform(source, lambda i: F.get("pixels", i)), "rows": F.lit(side), "columns": F.lit(side)})
+    return samples.withColumns({"pixels": let(F.col("pixels"), lambda pixels: F.transform(source, lambda i: F.get(pixels, i))), "rows": F.lit(side), "columns": F.lit(side)})
 
 
 def memory_samples(spark: SparkSession, images: list[list[int]], labels: list[int], rows: int, columns: int) -> DataFrame:
