@@ -29,9 +29,9 @@ DEC = "decimal(38,0)"
 
 
 def default_levels() -> dict[str, Column]:
-    """Domain (one of four, by the source's checksum: the tables have none), language and source."""
+    """Domain (one of four, by the first digit of the source's MD5: the tables have none), language and source."""
     return {
-        "domain": F.concat(F.lit("domain"), (F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")) % 4).cast("string")),
+        "domain": F.concat(F.lit("domain"), (F.conv(F.substring(F.md5(F.coalesce(F.col("source"), F.lit(""))), 1, 1), 16, 10).cast("int") % 4).cast("string")),
         "lang": F.coalesce(F.col("lang"), F.lit("")),
         "source": F.coalesce(F.col("source"), F.lit("")),
     }
@@ -94,26 +94,24 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]] | None = None, perce
     """
     levels = levels or default_levels()
     names = [f"_{k}" for k in levels]
-    named = docs.select("*", *[c.alias(f"_{k}") for k, c in levels.items()])
-    rows = materialize(named.select(F.col(id_col).alias("_id"), *names, count_tokens(F.col(text_col)).alias("tokens")), "mix-tokens")
-    units = rows.where("tokens > 0")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(id_col).alias("_id"), *[c.alias(f"_{k}") for k, c in levels.items()], count_tokens(F.col(text_col)).alias("tokens"))
+    units = materialize(packed.drop("_doc"), "mix-tokens").where("tokens > 0")
     leaves = materialize(units.groupBy(*names).agg(F.sum("tokens").alias("tokens")), "mix-leaves")
     total = int(leaves.agg(F.sum(F.col("tokens").cast(DEC))).first()[0] or 0) * int(percent) // 100
     plan = leaf_budgets(leaves, names, total, {f"_{k}": v for k, v in (weights or {}).items()}, max_epochs)
     plan = materialize(plan.withColumn("whole", F.expr("share div tokens")).withColumn("rest", F.expr("share % tokens")).select(*names, "whole", "rest"), "mix-plan")
     ends = materialize(prefix_ends(units, plan, names, seed), "mix-ends")
-    chosen = plan.join(ends, names, "left")
-    placed = named.withColumn("_tokens", count_tokens(F.col(text_col))).where("_tokens > 0").join(chosen, names)
-    key = order_key(seed, F.col("whole"), F.col(id_col))
-    same = (F.col("_key") == F.col("end_key")) & F.col("_tie").eqNullSafe(F.col("end_tie"))
-    early = F.coalesce(F.col("end_key").isNotNull() & ((F.col("_key") < F.col("end_key")) | ((F.col("_key") == F.col("end_key")) & (F.col("_tie") < F.col("end_tie")))), F.lit(False))
-    part = F.when(early, F.col("_tokens")).when(F.coalesce(same, F.lit(False)), F.expr(f"cast((cast(end_rest as {DEC}) * _tokens) div end_tokens as bigint)")).otherwise(F.lit(0).cast("bigint"))
-    placed = placed.withColumn("_key", key).withColumn("_tie", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).withColumn("_part", part)
+    placed = packed.where("tokens > 0").join(plan.join(ends, names, "left"), names)
+    tie = F.coalesce(F.col("_id").cast("string"), F.lit(""))
+    placed = placed.withColumns({"key": order_key(seed, F.col("whole"), F.col("_id")), "tie": tie})
+    early = "end_key is not null and (key < end_key or (key = end_key and tie < end_tie))"
+    part = F.expr(f"case when {early} then tokens when key = end_key and tie = end_tie then cast((cast(end_rest as {DEC}) * tokens) div end_tokens as bigint) else 0L end")
     readings = F.expr("""concat(
-        case when whole > 0 then transform(sequence(0L, whole - 1), e -> struct(e as epoch, _tokens as tokens)) else cast(array() as array<struct<epoch:bigint,tokens:bigint>>) end,
-        case when _part > 0 then array(struct(whole as epoch, _part as tokens)) else cast(array() as array<struct<epoch:bigint,tokens:bigint>>) end)""")
-    out = placed.withColumn("_reading", F.explode(readings))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_reading.epoch").alias("mix_epoch"), F.col("_reading.tokens").alias("mix_tokens"))
+        case when whole > 0 then transform(sequence(0L, whole - 1), e -> struct(e as epoch, tokens as tokens)) else cast(array() as array<struct<epoch:bigint,tokens:bigint>>) end,
+        case when part > 0 then array(struct(whole as epoch, part as tokens)) else cast(array() as array<struct<epoch:bigint,tokens:bigint>>) end)""")
+    read = placed.withColumn("part", part).select("_doc", F.explode(readings).alias("_reading"))
+    others = [F.col("_doc").getField(c).alias(c) for c in docs.columns if c not in ("mix_epoch", "mix_tokens")]
+    return read.select(*others, F.col("_reading.epoch").alias("mix_epoch"), F.col("_reading.tokens").alias("mix_tokens"))
 
 
 def prefix_ends(units: DataFrame, plan: DataFrame, names: list[str], seed: int) -> DataFrame:

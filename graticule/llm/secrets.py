@@ -58,7 +58,7 @@ def _where_found(text: Column, pattern: str, spans: Column) -> Column:
 
 
 def find_parts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` without the text, with arrays of spans: base (kinds 0 to 2), weak (3 and 4), endpoints (5)."""
+    """``docs`` without the text, with arrays of spans: _s_base (kinds 0 to 2), _s_weak (3 and 4), _s_ends (5)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     long_enough = F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda x: F.length(x) >= ASSIGN_LEAST)
     access_enough = F.transform(F.regexp_extract_all(text, F.lit(ACCESS), F.lit(0)), lambda x: F.length(x) >= ACCESS_LEAST)
@@ -69,17 +69,17 @@ def find_parts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     weak_secret = _where_found(text, "[A-Za-z0-9+/]{40}", _spans(text, WEAK_SECRET, 4))
     weak = F.concat(weak_id, weak_secret)
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    parts = docs.select(F.monotonically_increasing_id().alias("_row"), *others, F.col(text_col).alias("_text"), F.concat(assign, access, hexes).alias("base"), weak.alias("weak"))
-    ends = F.when(F.size("weak") > 0, _spans(F.coalesce(F.col("_text"), F.lit("")), ENDPOINT, 5)).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,kind:int>>"))
-    return parts.withColumn("endpoints", ends).drop("_text")
+    parts = docs.select(F.monotonically_increasing_id().alias("_row"), *others, F.col(text_col).alias("_text"), F.concat(assign, access, hexes).alias("_s_base"), weak.alias("_s_weak"))
+    ends = F.when(F.size("_s_weak") > 0, _spans(F.coalesce(F.col("_text"), F.lit("")), ENDPOINT, 5)).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,kind:int>>"))
+    return parts.withColumn("_s_ends", ends).drop("_text")
 
 
 def link_parts(parts: DataFrame, reach: int = REACH) -> DataFrame:
-    """(_row, extra): the weak spans that complementary parts within ``reach`` characters confirm.
+    """(_row, _s_extra): the weak spans that complementary parts within ``reach`` characters confirm.
 
     parts: a written table, as it is read twice.
     """
-    every = parts.where(F.size("weak") > 0).select("_row", F.explode(F.concat("base", "weak", "endpoints")).alias("p")).select("_row", "p.start", "p.end", "p.kind", F.expr(f"p.start div {reach}").alias("stretch"))
+    every = parts.where(F.size("_s_weak") > 0).select("_row", F.explode(F.concat("_s_base", "_s_weak", "_s_ends")).alias("p")).select("_row", "p.start", "p.end", "p.kind", F.expr(f"p.start div {reach}").alias("stretch"))
     extremes = every.groupBy("_row", "stretch", "kind").agg(F.max("end").alias("last"), F.min("start").alias("first"))
     near = extremes.select("_row", F.explode(F.array(F.col("stretch") - 1, F.col("stretch"), F.col("stretch") + 1)).alias("stretch"), F.col("kind").alias("other"), "first", "last", F.col("stretch").alias("theirs"))
     weak = every.where(F.col("kind").isin(3, 4))
@@ -89,7 +89,7 @@ def link_parts(parts: DataFrame, reach: int = REACH) -> DataFrame:
     of = lambda *kinds: F.max(F.when(in_reach & F.col("other").isin(*kinds), True).otherwise(False))
     told = met.groupBy("_row", "start", "end", "kind").agg(of(1, 3).alias("identifier"), of(4, 0).alias("secret"), of(5).alias("endpoint"))
     sure = told.where(((F.col("kind") == 4) & F.col("identifier")) | ((F.col("kind") == 3) & F.col("secret") & F.col("endpoint")))
-    return sure.groupBy("_row").agg(F.collect_list(F.struct("start", "end", "kind")).alias("extra"))
+    return sure.groupBy("_row").agg(F.collect_list(F.struct("start", "end", "kind")).alias("_s_extra"))
 
 
 def _named(spans: Column) -> Column:
@@ -100,13 +100,13 @@ def _named(spans: Column) -> Column:
 
 
 def scan_secrets(docs: DataFrame, text_col: str = "text", reach: int = REACH) -> DataFrame:
-    """The columns of ``docs`` but the text, with n_assign, n_access, n_hex, n_weak, base_sha256, spans."""
+    """The columns of ``docs`` but the text, with n_assign, n_access, n_hex, n_weak, base_sha256, spans, which replace any of these names."""
     parts = materialize(find_parts(docs, text_col), "secret-parts")
     joined = parts.join(link_parts(parts, reach), "_row", "left")
-    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
-    extra = F.coalesce("extra", F.array().cast("array<struct<start:bigint,end:bigint,kind:int>>"))
-    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    count = lambda kind: F.size(F.filter("_s_base", lambda s: s["kind"] == kind)).cast("bigint")
+    extra = F.coalesce("_s_extra", F.array().cast("array<struct<start:bigint,end:bigint,kind:int>>"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col and c not in ("n_assign", "n_access", "n_hex", "n_weak", "base_sha256", "spans")]
     return joined.select(
         *others, count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.size(extra).cast("bigint").alias("n_weak"),
-        F.sha2(_named(F.col("base")), 256).alias("base_sha256"), _named(F.concat("base", extra)).alias("spans"),
+        F.sha2(_named(F.col("_s_base")), 256).alias("base_sha256"), _named(F.concat("_s_base", extra)).alias("spans"),
     )
