@@ -17,7 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.batches import with_batch_column
 from ..schemas import Split
 from .transform import class_index, public_label
 
@@ -194,7 +196,8 @@ class DeepClassifier:
                 loss[at : at + 256] = -np.log(np.maximum(1e-12, p[np.arange(len(p)), y[at : at + 256]]))
             return pa.StructArray.from_arrays([pa.array(best), pa.array(loss)], names=["best", "loss"])
 
-        marked = samples.withColumn("_m", F.arrow_udf(run, "struct<best:int,loss:double>")("pixels", F.col("label").cast("bigint")))
+        kind = T.StructType([T.StructField("best", T.IntegerType()), T.StructField("loss", T.DoubleType())])
+        marked = with_batch_column(samples, "_m", kind, run, "pixels", "label")
         return marked.select("idx", F.col("label").alias("actual"), public_label(F.col("_m.best"), split).alias("predicted"), F.col("_m.loss").alias("loss"))
 
     def evaluate(self, samples: DataFrame) -> dict:

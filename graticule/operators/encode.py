@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import encoders as E
 from ..functions import geometry as G
+from ..functions.batches import with_batch_column
 from ..functions.binding import let
 from ..functions.similarity import similarity
 from ..schemas import EVENT, WORD
@@ -127,21 +128,16 @@ def encode_images_batch(samples: DataFrame, rows: int, columns: int, multiplier:
     """As ``encode_images``, by numpy over Arrow batches."""
     E.check_multiplier(multiplier)
     run = lambda p: _events(E.encode_images(_matrix(p, rows * columns), rows, columns, multiplier))
-    return samples.withColumn(into, F.arrow_udf(run, EVENT)(F.col("pixels")))
+    return with_batch_column(samples, into, EVENT, run, "pixels")
 
 
 def encode_features_batch(samples: DataFrame, dx: Column | None = None, dy: Column | None = None, ink: int = G.INK, kind: str = "iou", into: str = "features") -> DataFrame:
     """As ``encode_features``, by numpy over Arrow batches, with an extra shift for each row."""
 
-    def run(batches):
-        for batch in batches:
-            x, y = (batch.column(c).to_numpy() for c in ("_dx", "_dy"))
-            out = E.encode_features(_matrix(batch.column("pixels"), G.SIDE**2), x, y, ink, kind)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 5 * len(out) + 1, 5), pa.int32()), _events(out.reshape(-1, 2)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], lists], names=[*names, into])
+    def run(pixels: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
+        out = E.encode_features(_matrix(pixels, G.SIDE**2), x.to_numpy(), y.to_numpy(), ink, kind)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, 5 * len(out) + 1, 5), pa.int32()), _events(out.reshape(-1, 2)))
 
-    names = samples.columns
-    schema = T.StructType([*samples.schema.fields, T.StructField(into, T.ArrayType(EVENT))])
     zero = F.lit(0)
     shifted = samples.withColumns({"_dx": dx if dx is not None else zero, "_dy": dy if dy is not None else zero})
-    return shifted.mapInArrow(run, schema)
+    return with_batch_column(shifted, into, T.ArrayType(EVENT), run, "pixels", "_dx", "_dy").drop("_dx", "_dy")

@@ -10,7 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.batches import with_batch_column
 from ..functions.similarity import similarity, similarity_np
 
 MOST_PROTOTYPES = 100_000
@@ -104,5 +106,6 @@ def match_batches(samples: DataFrame, protos: DataFrame, event_col: str = "event
                 best[at : at + 2048], score[at : at + 2048] = labels[by_class.argmax(axis=1)], by_class.max(axis=1)
         return pa.StructArray.from_arrays([pa.array(best), pa.array(score)], names=["predicted", "score"])
 
-    marked = samples.withColumn("_m", F.arrow_udf(run, "struct<predicted:int,score:double>")(F.col(event_col)))
+    kind_of = T.StructType([T.StructField("predicted", T.IntegerType()), T.StructField("score", T.DoubleType())])
+    marked = with_batch_column(samples, "_m", kind_of, run, event_col)
     return marked.withColumns({"predicted": F.col("_m.predicted"), "score": F.col("_m.score")}).drop("_m")
