@@ -21,11 +21,11 @@ PATCH_WEIGHT = 0.5
 
 
 def bounded(protos: DataFrame) -> DataFrame:
-    """``protos`` marked for broadcast once their number is known to allow it."""
-    n = protos.count()
-    if n > MOST_PROTOTYPES:
-        raise ValueError(f"{n} prototypes exceed the {MOST_PROTOTYPES} that are broadcast")
-    return F.broadcast(protos)
+    """``protos`` for broadcast, computed once; raises if there are more than MOST_PROTOTYPES."""
+    found = protos.limit(MOST_PROTOTYPES + 1).toArrow()
+    if found.num_rows > MOST_PROTOTYPES:
+        raise ValueError(f"more than {MOST_PROTOTYPES} prototypes are not broadcast")
+    return F.broadcast(protos.sparkSession.createDataFrame(found, protos.schema))
 
 
 def class_scores(events: DataFrame, protos: DataFrame, kind: str = "iou") -> DataFrame:

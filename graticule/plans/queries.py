@@ -26,7 +26,16 @@ TEN = Split("digits", 10)
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.vector_samples(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return vectors.vector_samples(spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table of fewer partitions than cores, as one small file gives, dealt over all of them; others as they are.
+
+    Encoding costs far more than moving 64 floats a row.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
 
 
 def large(spark: SparkSession, sf_dir: str) -> DataFrame:
