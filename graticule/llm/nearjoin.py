@@ -10,7 +10,7 @@ the posting lists of a longer prefix costs against the candidates that l common
 share the smaller l of the two.
 
 Candidates. Shingles with few documents give their pairs. Where many documents share one, each is first only
-compared with the least of them; verified links are merged into components, and of the shingle only pairs
+compared with one of them; verified links are merged into components, and of the shingle only pairs
 between different components follow. So a group of near copies costs what its members do, not its pairs, and no
 pair is given up. Shingles that a large part of all documents have are salted before that; the
 second step covers pairs across salts.
@@ -168,7 +168,7 @@ def _first_by(f: np.ndarray, s: np.ndarray, keep: int) -> np.ndarray:
 
 
 def postings(prefix: DataFrame, only=None) -> DataFrame:
-    """(token, salt, doc, n, l, level, hot) of each prefix member. only: a bitmap of tokens that may be wanted."""
+    """(token, salt, place, doc, n, l, level, hot) of each prefix member. only: a bitmap of tokens that may be wanted."""
 
     def run(batches):
         for batch in batches:
@@ -185,17 +185,21 @@ def postings(prefix: DataFrame, only=None) -> DataFrame:
             level = np.maximum(1, place + 1 - (n - need)[row]).astype(np.int32)
             hot = place >= cold[row]
             salt = np.where(hot, (mix((token ^ docs[row] * np.int64(0x9E3779B1)).view(U64)) % U64(SALTS)).astype(np.int32), 0).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(salt), pa.array(docs[row]), pa.array(n[row]), pa.array(shared[row].astype(np.int32)), pa.array(level), pa.array(hot)], names=["token", "salt", "doc", "n", "l", "level", "hot"])
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(salt), pa.array(place.astype(np.int32)), pa.array(docs[row]), pa.array(n[row]), pa.array(shared[row].astype(np.int32)), pa.array(level), pa.array(hot)], names=["token", "salt", "place", "doc", "n", "l", "level", "hot"])
 
-    return prefix.select("doc", "n", "l", "cold", "tokens").mapInArrow(run, "token bigint, salt int, doc bigint, n bigint, l int, level int, hot boolean")
+    return prefix.select("doc", "n", "l", "cold", "tokens").mapInArrow(run, "token bigint, salt int, place int, doc bigint, n bigint, l int, level int, hot boolean")
 
 
-#: kind 0: x and y share a token that counts; 1: y is to be compared with x, the least of a long list; 2: x is the token of a long list.
+#: kind 0: x and y share a token that counts; 1: y is to be compared with x, the first of a long list; 2: x is the token of a long list;
+#: 3: l of x's tokens are in lists with others.
 FOUND_SCHEMA = "kind int, x bigint, y bigint, l int"
 
 
 def scan_lists(sorted_postings: DataFrame) -> DataFrame:
-    """FOUND_SCHEMA from postings sorted by token, salt and doc within partitions; a list is never held as a whole."""
+    """FOUND_SCHEMA from postings sorted by token, salt, place and doc within partitions; a list is never held as a whole.
+
+    First in a list is the document with the fewest rarer shingles, which of edited copies is the one edited least.
+    """
     names = ["token", "salt", "doc", "n", "l", "level", "hot"]
 
     def run(batches):
@@ -208,6 +212,7 @@ def scan_lists(sorted_postings: DataFrame) -> DataFrame:
                 run_ = len(same) if same.all() else int(same.argmin())
                 if run_:
                     yield from stars(np.full(run_, going[2]), np.full(run_, going[3]), now["doc"][:run_], now["n"][:run_])
+                    yield from counted(now["doc"][:run_])
                     now = {c: a[run_:] for c, a in now.items()}
                 if not len(now["doc"]):
                     continue
@@ -232,6 +237,7 @@ def scan_lists(sorted_postings: DataFrame) -> DataFrame:
             return
         sizes = np.diff(np.concatenate([first, [len(now["doc"])]]))
         long = (sizes > SMALL_LIST) | (now["hot"][first] > 0)
+        yield from counted(now["doc"][np.repeat(long | (sizes > 1), sizes)])
         own = np.repeat(first, sizes)
         rows = np.repeat(long, sizes)
         yield from stars(now["doc"][own[rows]], now["n"][own[rows]], now["doc"][rows], now["n"][rows])
@@ -253,6 +259,11 @@ def scan_lists(sorted_postings: DataFrame) -> DataFrame:
             pairs = np.unique(np.column_stack([leader[use], doc[use]]), axis=0)
             yield out(1, pairs[:, 0], pairs[:, 1], np.zeros(len(pairs)))
 
+    def counted(docs):
+        if len(docs):
+            own, count = np.unique(docs, return_counts=True)
+            yield out(3, own, own, count)
+
     def fits(n, m):
         return 5 * np.minimum(n, m) >= 4 * np.maximum(n, m)
 
@@ -330,22 +341,25 @@ def _link(pairs: DataFrame, parts: DataFrame | None, prefix: DataFrame, docs: Da
     return parts
 
 
-def _long_lists(prefix: DataFrame, tokens: DataFrame, parts: DataFrame | None) -> DataFrame:
-    """(x, y) of documents of different components that share enough tokens of long lists.
+def _long_lists(prefix: DataFrame, tokens: DataFrame, parts: DataFrame | None, shared: DataFrame) -> DataFrame:
+    """(x, y) of documents of different components that share enough tokens of long lists. shared: (doc, s).
 
     Of a list, the members outside its largest component meet all others; members of one component never meet.
+    What two sets share beyond their prefixes is at most need - l of one of them, and what they share within is at
+    most s, the members of a prefix that are in any other prefix. Where both together miss four ninths of the
+    sizes the pair cannot link: so end most edited copies that are too far apart.
     """
     rows = postings(prefix, bitmap_of(tokens)).join(tokens, "token").select("token", "doc", "n", "l", "level")
     comp = F.col("doc")
     if parts is not None:
         rows = rows.join(parts.select(F.col("node").alias("doc"), "root"), "doc", "left")
         comp = F.coalesce("root", "doc")
-    rows = rows.withColumn("c", comp).drop("root")
+    rows = materialize(rows.withColumn("c", comp).drop("root").join(shared, "doc"), "long-lists")
     shares = rows.groupBy("token", "c").agg(F.count("*").alias("k"))
     major = shares.groupBy("token").agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("token", F.col("m.c").alias("major"))
     rows = materialize(rows.join(major, "token"), "long-lists")
-    few = rows.where("c <> major").select("token", F.col("doc").alias("xd"), F.col("n").alias("xn"), F.col("l").alias("xl"), F.col("level").alias("xv"), F.col("c").alias("xc"))
-    met = few.join(rows, "token").where("xc <> c and (c = major or xd < doc) and 5 * least(xn, n) >= 4 * greatest(xn, n) and greatest(xv, level) <= least(xl, l)")
+    few = rows.where("c <> major").select("token", F.col("doc").alias("xd"), F.col("n").alias("xn"), F.col("l").alias("xl"), F.col("level").alias("xv"), F.col("c").alias("xc"), F.col("s").alias("xs"))
+    met = few.join(rows, "token").where("xc <> c and (c = major or xd < doc) and 5 * least(xn, n) >= 4 * greatest(xn, n) and 9 * (least(xs, s) + greatest((4 * xn + 4) div 5 - xl, (4 * n + 4) div 5 - l)) >= 4 * (xn + n) and greatest(xv, level) <= least(xl, l)")
     return met.groupBy(F.least("xd", "doc").alias("x"), F.greatest("xd", "doc").alias("y")).agg(F.count("*").alias("k"), F.min(F.least("xl", "l")).alias("l")).where("k >= l").select("x", "y")
 
 
@@ -371,14 +385,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     checked = flagged.where("_c").select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text")
     prefix = materialize(prefixes(alone, counts, total).unionAll(prefixes(checked, counts, total)), "prefixes")
 
-    found = materialize(scan_lists(postings(prefix).repartition("token", "salt").sortWithinPartitions("token", "salt", "doc")), "found")
+    found = materialize(scan_lists(postings(prefix).repartition("token", "salt").sortWithinPartitions("token", "salt", "place", "doc")), "found")
     release(spark)
     few = found.where("kind = 0").groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count("*").alias("k"), F.min("l").alias("l")).where("k >= l").select("x", "y")
     pairs = few.unionAll(found.where("kind = 1").select("x", "y")).distinct()
     parts = _link(pairs, None, prefix, docs)
     tokens = materialize(found.where("kind = 2").select(F.col("x").alias("token")).distinct(), "tokens")
     if not tokens.isEmpty():
-        parts = _link(_long_lists(prefix, tokens, parts), parts, prefix, docs)
+        shared = materialize(found.where("kind = 3").groupBy(F.col("x").alias("doc")).agg(F.sum("l").alias("s")), "shared")
+        parts = _link(_long_lists(prefix, tokens, parts, shared), parts, prefix, docs)
     drop_table(found)
     drop_table(prefix)
     release(spark)
