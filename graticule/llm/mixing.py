@@ -87,21 +87,22 @@ def leaf_budgets(leaves: DataFrame, levels: list[str], total: int, weights: dict
     return leaves.join(given.withColumnRenamed("budget", "share"), levels)
 
 
-def mix(docs: DataFrame, weights: dict[str, dict[str, int]] | None = None, percent: int = 75, max_epochs: int = 2, seed: int = 42, levels: dict[str, Column] | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Columns of ``docs`` with ``mix_epoch`` and ``mix_tokens`` for each document and epoch chosen.
+def mix(docs: DataFrame, weights: dict[str, dict[str, int]] | None = None, percent: int = 75, max_epochs: int = 2, seed: int = 42, levels: dict[str, Column] | None = None, text_col: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """Columns of ``docs`` (all, or those in ``keep``) with ``mix_epoch`` and ``mix_tokens`` for each document and epoch chosen.
 
     The budget is ``percent`` of all tokens of ``docs``. ``mix_tokens`` says how many of the text's first tokens count.
     """
     levels = levels or default_levels()
     names = [f"_{k}" for k in levels]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(id_col).alias("_id"), *[c.alias(f"_{k}") for k, c in levels.items()], count_tokens(F.col(text_col)).alias("tokens"))
+    kept = [c for c in docs.columns if (keep is None or c in keep) and c not in ("mix_epoch", "mix_tokens")]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_doc"), F.col(id_col).alias("_id"), *[c.alias(f"_{k}") for k, c in levels.items()], count_tokens(F.col(text_col)).alias("tokens"))
     units = materialize(packed.drop("_doc"), "mix-tokens").where("tokens > 0")
     leaves = materialize(units.groupBy(*names).agg(F.sum("tokens").alias("tokens")), "mix-leaves")
     total = int(leaves.agg(F.sum(F.col("tokens").cast(DEC))).first()[0] or 0) * int(percent) // 100
     plan = leaf_budgets(leaves, names, total, {f"_{k}": v for k, v in (weights or {}).items()}, max_epochs)
     plan = materialize(plan.withColumn("whole", F.expr("share div tokens")).withColumn("rest", F.expr("share % tokens")).select(*names, "whole", "rest"), "mix-plan")
-    ends = materialize(prefix_ends(units, plan, names, seed), "mix-ends")
-    placed = packed.where("tokens > 0").join(plan.join(ends, names, "left"), names)
+    plan = materialize(plan.join(prefix_ends(units, plan, names, seed), names, "left"), "mix-ends")  # as a table its size is known, and Spark broadcasts it or not
+    placed = packed.where("tokens > 0").join(plan, names)
     tie = F.coalesce(F.col("_id").cast("string"), F.lit(""))
     placed = placed.withColumns({"key": order_key(seed, F.col("whole"), F.col("_id")), "tie": tie})
     early = "end_key is not null and (key < end_key or (key = end_key and tie < end_tie))"
@@ -110,7 +111,7 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]] | None = None, perce
         case when whole > 0 then transform(sequence(0L, whole - 1), e -> struct(e as epoch, tokens as tokens)) else cast(array() as array<struct<epoch:bigint,tokens:bigint>>) end,
         case when part > 0 then array(struct(whole as epoch, part as tokens)) else cast(array() as array<struct<epoch:bigint,tokens:bigint>>) end)""")
     read = placed.withColumn("part", part).select("_doc", F.explode(readings).alias("_reading"))
-    others = [F.col("_doc").getField(c).alias(c) for c in docs.columns if c not in ("mix_epoch", "mix_tokens")]
+    others = [F.col("_doc").getField(c).alias(c) for c in kept]
     return read.select(*others, F.col("_reading.epoch").alias("mix_epoch"), F.col("_reading.tokens").alias("mix_tokens"))
 
 

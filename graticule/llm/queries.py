@@ -22,7 +22,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, mix_epoch, mix_tokens of each document and epoch that the mixture reads."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return mixing.mix(docs, LANGUAGE_WEIGHTS).drop("text")
+    return mixing.mix(docs, LANGUAGE_WEIGHTS, keep=("doc_id", "lang", "source"))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
