@@ -341,8 +341,11 @@ def _link(pairs: DataFrame, parts: DataFrame | None, prefix: DataFrame, docs: Da
     return parts
 
 
-def _long_lists(prefix: DataFrame, tokens: DataFrame, parts: DataFrame | None, shared: DataFrame) -> DataFrame:
-    """(x, y) of documents of different components that share enough tokens of long lists. shared: (doc, s).
+def _long_lists(prefix: DataFrame, tokens: DataFrame, parts: DataFrame | None, shared: DataFrame, short: DataFrame) -> DataFrame:
+    """(x, y) of documents of different components that share enough tokens, one in a long list at least. shared: (doc, s).
+
+    short: (x, y, k, l) of the pairs with k common tokens in short lists, fewer than the l they need; the count in
+    long lists adds to k.
 
     Of a list, the members outside its largest component meet all others; members of one component never meet.
     What two sets share beyond their prefixes is at most need - l of one of them, and what they share within is at
@@ -360,7 +363,8 @@ def _long_lists(prefix: DataFrame, tokens: DataFrame, parts: DataFrame | None, s
     rows = materialize(rows.join(major, "token"), "long-lists")
     few = rows.where("c <> major").select("token", F.col("doc").alias("xd"), F.col("n").alias("xn"), F.col("l").alias("xl"), F.col("level").alias("xv"), F.col("c").alias("xc"), F.col("s").alias("xs"))
     met = few.join(rows, "token").where("xc <> c and (c = major or xd < doc) and 5 * least(xn, n) >= 4 * greatest(xn, n) and 9 * (least(xs, s) + greatest((4 * xn + 4) div 5 - xl, (4 * n + 4) div 5 - l)) >= 4 * (xn + n) and greatest(xv, level) <= least(xl, l)")
-    return met.groupBy(F.least("xd", "doc").alias("x"), F.greatest("xd", "doc").alias("y")).agg(F.count("*").alias("k"), F.min(F.least("xl", "l")).alias("l")).where("k >= l").select("x", "y")
+    counts = met.select(F.least("xd", "doc").alias("x"), F.greatest("xd", "doc").alias("y"), F.lit(1).cast("bigint").alias("k"), F.least("xl", "l").alias("l"))
+    return counts.unionAll(short).groupBy("x", "y").agg(F.sum("k").alias("k"), F.min("l").alias("l")).where("k >= l").select("x", "y")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -387,13 +391,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     found = materialize(scan_lists(postings(prefix).repartition("token", "salt").sortWithinPartitions("token", "salt", "place", "doc")), "found")
     release(spark)
-    few = found.where("kind = 0").groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count("*").alias("k"), F.min("l").alias("l")).where("k >= l").select("x", "y")
-    pairs = few.unionAll(found.where("kind = 1").select("x", "y")).distinct()
+    few = found.where("kind = 0").groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count("*").alias("k"), F.min("l").alias("l"))
+    pairs = few.where("k >= l").select("x", "y").unionAll(found.where("kind = 1").select("x", "y")).distinct()
     parts = _link(pairs, None, prefix, docs)
     tokens = materialize(found.where("kind = 2").select(F.col("x").alias("token")).distinct(), "tokens")
     if not tokens.isEmpty():
         shared = materialize(found.where("kind = 3").groupBy(F.col("x").alias("doc")).agg(F.sum("l").alias("s")), "shared")
-        parts = _link(_long_lists(prefix, tokens, parts, shared), parts, prefix, docs)
+        parts = _link(_long_lists(prefix, tokens, parts, shared, few.where("k < l")), parts, prefix, docs)
     drop_table(found)
     drop_table(prefix)
     release(spark)

@@ -72,6 +72,17 @@ def test_long_and_hot_lists_lose_nothing(spark, monkeypatch, small, hot):
     assert found(spark, rows) == brute(rows)
 
 
+def test_common_members_in_short_and_long_lists_add_up(spark, monkeypatch):
+    """The last two texts link; of their three common prefix members one is in a short list and two in long ones, whose leader is another text."""
+    monkeypatch.setattr(nearjoin, "HOT_SHARE", 2.0)
+    passage = " ".join(f"p{k}" for k in range(83))
+    most = f"{passage} q"
+    rows = list(enumerate([passage, *[f"c{k} {passage}" for k in range(14)], most, most + "".join(f" u{k}" for k in range(20))]))
+    sets = [shingles(t) for _, t in rows]
+    assert 100 * len(sets[-1] & sets[-2]) == 80 * len(sets[-1] | sets[-2]) and max(100 * len(sets[-1] & s) / len(sets[-1] | s) for s in sets[:-2]) < 80
+    assert found(spark, rows) == brute(rows)
+
+
 def test_null_ids_repeated_rows_and_no_rows(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (None, None), (3, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
