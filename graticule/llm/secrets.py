@@ -4,8 +4,9 @@ Certain parts are found by fixed patterns: assignments to telling names, access
 Weak parts prove nothing alone: base64-like runs of 40 characters, and shorter key identifiers. They are
 reported only where complementary parts lie within ``REACH`` characters in the same scope (the document): a
 weak secret beside an access or key identifier, a weak identifier beside a weak secret and a service endpoint.
-This is an interval join on (document, stretch of ``REACH`` characters): of each kind only the first and last
-place in a stretch are needed to decide whether any lies in reach, so parts never meet as pairs.
+This is an interval join on (document, stretch of ``REACH`` characters): a part is in every stretch it touches, a
+weak part looks into every stretch it reaches. Of each kind only the first start and last end in a stretch are
+needed to decide whether any lies in reach, so parts never meet as pairs.
 
 Matches are cut out of a text with ``split``: lengths of the pieces between them give their places, in code
 points. Only documents with weak parts take part in the join.
@@ -79,13 +80,14 @@ def link_parts(parts: DataFrame, reach: int = REACH) -> DataFrame:
 
     parts: a written table, as it is read twice.
     """
-    every = parts.where(F.size("_s_weak") > 0).select("_row", F.explode(F.concat("_s_base", "_s_weak", "_s_ends")).alias("p")).select("_row", "p.start", "p.end", "p.kind", F.expr(f"p.start div {reach}").alias("stretch"))
-    extremes = every.groupBy("_row", "stretch", "kind").agg(F.max("end").alias("last"), F.min("start").alias("first"))
-    near = extremes.select("_row", F.explode(F.array(F.col("stretch") - 1, F.col("stretch"), F.col("stretch") + 1)).alias("stretch"), F.col("kind").alias("other"), "first", "last", F.col("stretch").alias("theirs"))
-    weak = every.where(F.col("kind").isin(3, 4))
+    stretches = lambda first, last: F.explode(F.expr(f"sequence(greatest(0, {first}) div {reach}, ({last}) div {reach})"))
+    every = parts.where(F.size("_s_weak") > 0).select("_row", F.explode(F.concat("_s_base", "_s_weak", "_s_ends")).alias("p")).select("_row", "p.start", "p.end", "p.kind")
+    touched = every.select("*", stretches("start", "end").alias("stretch"))
+    near = touched.groupBy("_row", "stretch", F.col("kind").alias("other")).agg(F.max("end").alias("last"), F.min("start").alias("first"))
+    weak = every.where(F.col("kind").isin(3, 4)).select("*", stretches(f"start - {reach}", f"end + {reach}").alias("stretch"))
     met = weak.join(near, ["_row", "stretch"])
-    gap = F.when(F.col("theirs") < F.col("stretch"), F.col("start") - F.col("last")).when(F.col("theirs") > F.col("stretch"), F.col("first") - F.col("end")).otherwise(F.lit(0))
-    in_reach = gap <= reach
+    # where neither the last end lies before a weak part nor the first start after it, one that touches the stretch is nearer than its length
+    in_reach = F.greatest(F.col("start") - F.col("last"), F.col("first") - F.col("end")) <= reach
     of = lambda *kinds: F.max(F.when(in_reach & F.col("other").isin(*kinds), True).otherwise(False))
     told = met.groupBy("_row", "start", "end", "kind").agg(of(1, 3).alias("identifier"), of(4, 0).alias("secret"), of(5).alias("endpoint"))
     sure = told.where(((F.col("kind") == 4) & F.col("identifier")) | ((F.col("kind") == 3) & F.col("secret") & F.col("endpoint")))
