@@ -72,6 +72,18 @@ def test_interactions_of_terms():
     assert score["foo bar"] > 0.7 > max(score["foo"], score["bar"])
 
 
+def test_interactions_of_terms_as_in_production():
+    """A group mention and a mild insult, each common in clean text, with the parameters of the query."""
+    rng = random.Random(1)
+    sample = []
+    for _ in range(1500):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        sample.append((" ".join([f"n{rng.randrange(10**9)}", rng.choice(["one", "two", "six"])] + ["foo"] * a + ["bar"] * b), int(a and b)))
+    model = toxicity.FactorizationMachine.fit(sample)
+    score = dict(zip(("foo", "bar", "foo bar", "six"), model.score(pa.array(["foo", "bar", "foo bar", "six"])).to_pylist()))
+    assert score["foo bar"] > 0.7 > max(score["foo"], score["bar"], score["six"])
+
+
 def test_language_edges():
     sample = [("the cat and the dog are here", "en"), ("der Hund und die Katze sind da", "de")] * 20
     model = language.LanguageModel.fit(sample)
