@@ -243,14 +243,14 @@ def online_baseline(spark, sf_dir):
 def online_structured(spark, sf_dir):
     """The structured learner on training rows, then idx, actual, predicted, expert of the test rows."""
     every = large(spark, sf_dir)
-    learner = learn.StructuredLearner(TEN).train(_train(every).where("idx < 200"), ink=INK)
+    learner = learn.StructuredLearner(TEN).train(_train(every), ink=INK)
     return learn.predict_structured(_test(every), learner.prototypes(spark), TEN, INK).drop("score")
 
 
 def deep_epochs(spark, sf_dir):
     """Two epochs of the convolutional spiking classifier: epoch, loss and accuracy."""
     model = DeepClassifier(TEN, TrainingConfig(epochs=2, batch_size=32, time_steps=4, seed=7, augment=False))
-    rows = model.train(_train(large(spark, sf_dir)).where("idx < 500"))
+    rows = model.train(_train(large(spark, sf_dir)))
     return spark.createDataFrame([(r["epoch"], float(np.round(r["loss"], 6)), float(r["accuracy"])) for r in rows], "epoch int, loss double, accuracy double")
 
 
