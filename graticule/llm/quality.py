@@ -1,6 +1,6 @@
 """Quality from compression with dictionaries of good and of bad text (operator 4).
 
-Two zstandard dictionaries are cut from labelled good and bad texts. A text is split into pieces; each is
+Two zstandard dictionaries are trained on all pieces of labelled good and bad texts. A text is split into pieces; each is
 compressed with either dictionary, and the difference of the sizes over their sum tells which it resembles.
 The mean of these differences, with how well the text packs at all, becomes a probability by a logistic
 curve fitted on labelled texts that the dictionaries have not seen.
@@ -77,22 +77,21 @@ class CompressionClassifier:
 
 
 def _loaded(content: bytes) -> zstandard.ZstdCompressionDict | None:
+    """Trained dictionaries begin with bytes that no text does; other content is taken as it is."""
     if not content:
         return None
-    made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_AUTO)
     made.precompute_compress(level=LEVEL)
     return made
 
 
 def _content(texts: list[str], size: int) -> bytes:
-    """Even shares of as many texts as fit, as raw dictionary content."""
-    share = max(256, size // max(1, len(texts)))
-    out = bytearray()
-    for text in texts:
-        out += text.encode()[: share]
-        if len(out) >= size:
-            break
-    return bytes(out[:size])
+    """All texts where they fit, else a dictionary trained on all pieces of all texts."""
+    data = [text.encode() for text in texts]
+    if sum(map(len, data)) <= size:
+        return b"".join(data)
+    pieces = [d[k : k + PIECE] for d in data for k in range(0, len(d), PIECE)]
+    return zstandard.train_dictionary(size, pieces, k=256, d=8, level=LEVEL).as_bytes()
 
 
 def _expand(x: np.ndarray) -> np.ndarray:

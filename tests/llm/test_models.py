@@ -60,6 +60,17 @@ def test_models_on_odd_texts_and_without_training():
         assert scores == model.score(odd).to_pylist()
 
 
+def test_dictionaries_cover_whole_texts():
+    """Good and bad texts differ only after the first 300 bytes, and there are more than a dictionary holds heads of."""
+    rng = random.Random(3)
+    head = "the same words at the head of every text " * 8
+    kinds = [[" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * 2 + str(rng.randrange(99)) for _ in range(9)) for _ in range(60)] for _ in (0, 1)]
+    sample = [(head + " ".join(rng.choice(kinds[y]) for _ in range(6)), y) for _ in range(900) for y in (0, 1)]
+    model = quality.CompressionClassifier.fit(sample)
+    scores = model.score(pa.array([t for t, _ in sample[:200]])).to_pylist()
+    assert sum((s >= 0.5) == y for s, (_, y) in zip(scores, sample)) > 195
+
+
 def test_interactions_of_terms():
     """Either word alone is harmless, both together are toxic: what additive weights cannot tell."""
     rng = random.Random(0)
