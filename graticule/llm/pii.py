@@ -2,8 +2,8 @@
 
 What the fixed patterns find seeds a graph of lexical contexts and instances: an instance is a token that looks
 like an identifier (some digits, or an at sign), a context is the two words before it, or the word before and the
-word after. Spark scores the graph in turns: a context by the share of its instances already believed to be
-of one kind, an instance by the contexts it stands in. Contexts that stay sure, with enough different
+word after. Spark scores the graph in turns until no context is added: a context by its instances believed to be of
+one kind against those that contradict it, an instance by the contexts it stands in. Contexts that stay sure, with enough different
 instances, mark the identifier-like tokens beside them that the fixed patterns miss.
 
 The graph is built from all documents; only contexts above the threshold leave Spark, and they are matched in
@@ -37,7 +37,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
 LEAST_DIGITS, MOST_CHARS = 5, 64
-SUPPORT, SURE, TURNS = 5, 0.9, 2
+SUPPORT, SURE = 5, 0.9
 BLOCK = 200_000
 
 SPAN = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
@@ -149,23 +149,33 @@ def occurrences(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(text_col).alias("_text")).mapInArrow(run, "context string, instance string, kind int")
 
 
-def learn_contexts(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, sure: float = SURE, turns: int = TURNS) -> DataFrame:
-    """(context, kind) of the contexts that mark identifiers: at least ``support`` instances, of which a share of ``sure`` is believed."""
+def learn_contexts(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, sure: float = SURE) -> DataFrame:
+    """(context, kind) of the contexts that mark identifiers: at least ``support`` instances are believed to be of the kind, and ``sure`` of those that tell.
+
+    Against a kind tell instances believed to be of other kinds only, and unseen ones that stand in a poor context, one
+    of whose instances some, but less than 1 - ``sure``, are believed. Other unseen instances tell nothing. Turns go on until none adds a context.
+    """
     edges = materialize(occurrences(docs, text_col).groupBy("context", "instance").agg(F.max("kind").alias("kind"), F.count("*").alias("n")), "contexts")
     # contexts with one instance can never reach the support
     wide = edges.groupBy("context").agg(F.count("*").alias("width")).where(F.col("width") >= support).select("context")
     edges = materialize(edges.join(wide, "context"), "contexts")
-    believed = edges.where("kind >= 0").select("instance", "kind", F.lit(1.0).alias("belief")).distinct()
-    for turn in range(turns):
+    base = edges.where("kind >= 0").select("instance", "kind", F.lit(1.0).alias("belief")).distinct()
+    believed, seen = base, None
+    while True:
         met = edges.select("context", "instance").join(believed, "instance", "left")
-        width = F.count_distinct("instance")
-        scored = met.groupBy("context", "kind").agg(F.sum("belief").alias("mass"), width.alias("of_kind"))
-        total = edges.groupBy("context").agg(F.count("*").alias("all"))
-        contexts = scored.where("kind is not null").join(total, "context").withColumn("share", F.col("mass") / F.col("all")).where((F.col("share") >= sure) & (F.col("of_kind") >= support)).select("context", "kind", "share")
-        contexts = materialize(contexts, "sure-contexts")
-        if turn + 1 < turns:
-            new = edges.where("kind < 0").select("context", "instance").join(contexts, "context").groupBy("instance", "kind").agg(F.max("share").alias("belief"))
-            believed = materialize(edges.where("kind >= 0").select("instance", "kind", F.lit(1.0).alias("belief")).distinct().unionAll(new), "believed")
+        each = materialize(met.groupBy("context", "instance").agg(F.count("kind").alias("kinds")), "believed-edges")
+        rich = each.groupBy("context").agg(F.count("*").alias("all"), F.count_if(F.col("kinds") > 0).alias("known"))
+        poor = rich.where((F.col("known") > 0) & (F.col("known") < (1 - sure) * F.col("all"))).select("context")
+        against = each.where("kinds = 0").select("context", "instance").join(each.join(poor, "context").where("kinds = 0").select("instance").distinct(), "instance").groupBy("context").agg(F.count("*").alias("against"))
+        scored = met.where("kind is not null").groupBy("context", "kind").agg(F.sum("belief").alias("mass"), F.count_distinct("instance").alias("of_kind"))
+        telling = scored.join(rich, "context").join(against, "context", "left").withColumn("share", F.col("mass") / (F.col("known") + F.coalesce("against", F.lit(0))))
+        contexts = materialize(telling.where((F.col("share") >= sure) & (F.col("of_kind") >= support)).select("context", "kind", "share"), "sure-contexts")
+        added = contexts.select("context", "kind") if seen is None else contexts.select("context", "kind").join(seen, ["context", "kind"], "left_anti")
+        if added.isEmpty():
+            break
+        seen = materialize(added if seen is None else seen.unionAll(added), "seen-contexts")
+        new = edges.where("kind < 0").select("context", "instance").join(contexts, "context").groupBy("instance", "kind").agg(F.max("share").alias("belief"))
+        believed = materialize(base.unionAll(new.join(base.select("instance", "kind"), ["instance", "kind"], "left_anti").select("instance", "kind", "belief")), "believed")
     best = contexts.groupBy("context").agg(F.max(F.struct("share", F.col("kind"))).alias("b"))
     return best.select("context", "b.kind")
 

@@ -166,6 +166,18 @@ def test_pii_query_and_bootstrapped_contexts(spark):
     assert pii.scan_pii(df.limit(0)).count() == 0
 
 
+def test_pii_unseen_instances_do_not_contradict(spark):
+    """Two chains: contexts in which half of the instances are unseen, then contexts known only from those, then from these; and a context of plain numbers."""
+    texts = [f"call me at +1 (555) 010-{i:04d} today" for i in range(12)] + [f"call me at 55501{i:05d} today" for i in range(12)]
+    texts += [f"then dial up 55501{i:05d} again" for i in range(12)] + [f"then dial up 55502{i:05d} again" for i in range(6)]
+    texts += [f"you may ring 55502{i:05d} soon" for i in range(6)] + ["you may ring 5550300000 soon"]
+    plain = [f"the order number 77701{i:05d} shipped" for i in range(60)] + [f"the order number +1 (555) 020-{i:04d} shipped" for i in range(5)]
+    df = spark.createDataFrame(list(enumerate(texts + plain)), "doc_id long, text string")
+    marked = {r.doc_id: r.n_context for r in pii.scan_pii(df).collect()}
+    assert [marked[i] for i in range(len(texts))] == [0] * 12 + [1] * (len(texts) - 12)
+    assert not any(marked[i] for i in range(len(texts), len(marked)))
+
+
 # --- decontamination
 
 
