@@ -1,28 +1,36 @@
 """Exact n-gram Jaccard join with adaptive multi-match prefixes (operator 3).
 
 A document is the set of its distinct five-word shingles; two link at a Jaccard similarity of 0.8 or more.
-Documents with equal sets are one class, of which one member goes on.
+Rows with equal texts are one class (by SHA-256), of which one member goes on; so are, later, equal sets.
 
-Filter. All sets are ordered by the same estimate of how many documents have a shingle (counts over all
-documents in a table of fixed size), then by hash. Two sets of similarity t share at least l members of their
-prefixes of length n - ceil(t n) + l, for any l. Each document takes the l of least estimated cost: what reading
-the posting lists of a longer prefix costs against the candidates that l common members still leave. A pair must
-share the smaller l of the two.
+Counts. How many documents have a shingle is counted exactly: sets travel in blocks of packed hashes, a block asks
+the owner of each hash range for the counts of its distinct members and gets them back in order. Nothing is
+broadcast, and a shingle that all documents have is asked for once a block. A member that no other document has is
+in no intersection, so a document can only link if ``need`` of its n members are left, ``need`` being 0.8 n rounded
+up. Documents below that end here; among the rest counts are taken anew, as fewer documents share a member now.
+
+Filter. Sets are ordered by count, then hash. Two sets of similarity t share at least l members of their prefixes of
+length n - ceil(t n) + l, for any l. Each document takes the l of least estimated cost: what reading the posting
+lists of a longer prefix costs against the candidates that l common members still leave. A pair must share the
+smaller l of the two. With a and b members that no other document has, a pair differs in a + b at least, and
+cannot link if that is over a ninth of both sizes.
 
 Candidates. Shingles with few documents give their pairs. Where many documents share one, each is first only
-compared with one of them; verified links are merged into components, and of the shingle only pairs
-between different components follow. So a group of near copies costs what its members do, not its pairs, and no
-pair is given up. Shingles that a large part of all documents have are salted before that; the
-second step covers pairs across salts.
+compared with one of them, the one with the fewest members of its own; verified links are merged into components,
+and of the shingle only pairs between different components follow, without those that the bound above rules out.
+So a group of near copies costs what its members do, not its pairs, and no pair is given up. Lists are dealt in
+parts of about ``PART`` by the exact count of their shingle; the second step covers pairs across parts.
 
-Verification. Parity bitmaps bound the symmetric difference from below and drop most candidates; the sets
-themselves are then intersected exactly. A document's likeliest candidate is tried first, and candidates within
-one component are dropped, as they cannot change it.
+Verification. Sets meet as packed arrays, a pair at a time beside the one that many are compared with, and are
+intersected exactly. A document's likeliest candidate is tried first, and candidates within one component are
+dropped, as they cannot change it.
 
 Defined results: null texts, and texts without words, have no shingles, link with nothing and are their own
-component; texts of fewer than five words are one shingle; each row is judged by its own text, but classes
-whose least doc_id is the same are one node; a null doc_id gives a null component and links with nothing; an
-empty table gives an empty result.
+component; texts of fewer than five words are one shingle; texts of any length are read whole, one at a time in
+memory; each row is judged by its own text, but classes whose least doc_id is the same are one node; of rows that
+tie, repeated ones included, the least doc_id names the component; a null doc_id gives a null component and links
+with nothing; an empty table gives an empty result; other columns, whatever their names, are not read, and
+``drop_near_duplicates`` returns them as they are.
 """
 
 from __future__ import annotations
@@ -31,23 +39,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from .graph import connected_components
-from .idfilter import bitmap_of, maybe_in, test
 from .textops import SPACE_WORDS, U64, mix, shingle_set, slices, words
-from .workspace import drop_table, materialize, release
+from .workspace import drop_table, materialize, release, unused
 
 NGRAM = 5
 #: Similarity 0.8 as 4/5: links when 5 * intersection >= 4 * union.
-SLOTS = 1 << 16
 MOST_SHARED = 6
 SMALL_LIST = 12
-HOT_SHARE = 0.02
-SALTS = 32
+#: Members of a block of sets, and of the hash range that one owner counts.
+BLOCK, RANGE = 1 << 15, 1 << 19
+#: Rows of a posting list, or of the pairs of one document, that go to one task; more are dealt.
+PART = 1000
 
 
 def _sets(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -59,44 +67,194 @@ def _sets(texts: pa.Array) -> Iterator[np.ndarray]:
 
 def _key(s: np.ndarray) -> tuple[int, int]:
     """128 bits of a set."""
-    if not len(s):
-        return 0, 0
     with np.errstate(over="ignore"):
         return tuple(int(np.add.reduce(mix(s ^ salt)).view(np.int64)) for salt in (U64(0x51ED270B), U64(0xC2B2AE3D)))
 
 
-def _need(n: int) -> int:
+def _need(n):
     """Least intersection with any linked set: ceil(0.8 n)."""
     return (4 * n + 4) // 5
 
 
-def describe(docs: DataFrame) -> DataFrame:
-    """A row for each document (doc_id, n, k1, k2), and for each partition one with its counts by slot in ``counts``."""
+#: docs, hs, ns and sizes: of each set the document, the digest of its text, its members, and those that are in ``tokens`` (packed, ordered within a set).
+BLOCK_SCHEMA = "block bigint, docs array<bigint>, hs array<binary>, ns array<bigint>, sizes array<bigint>, tokens binary"
+BLOCK_NAMES = ["block", "docs", "hs", "ns", "sizes", "tokens"]
+
+
+class _Blocks:
+    """Gathers sets of one task into blocks of about ``BLOCK`` members with numbers of their own."""
+
+    def __init__(self):
+        self.next = TaskContext.get().partitionId() << 32
+        self.clear()
+
+    def clear(self):
+        self.docs, self.hs, self.ns, self.sets, self.size = [], [], [], [], 0
+
+    def add(self, doc: int | None, h: bytes | None, n: int, members: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for values, value in ((self.docs, doc), (self.hs, h), (self.ns, n), (self.sets, members)):
+            values.append(value)
+        self.size += len(members) + 16
+        if self.size >= BLOCK:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.docs:
+            numbers, kinds = pa.list_(pa.int64()), pa.list_(pa.binary())
+            yield pa.RecordBatch.from_arrays([
+                pa.array([self.next], pa.int64()), pa.array([self.docs], numbers), pa.array([self.hs], kinds), pa.array([self.ns], numbers),
+                pa.array([[len(s) for s in self.sets]], numbers), pa.array([np.concatenate(self.sets).tobytes()], pa.binary()),
+            ], names=BLOCK_NAMES)
+            self.next += 1
+            self.clear()
+
+
+def set_blocks(texts: DataFrame) -> DataFrame:
+    """BLOCK_SCHEMA of the sets of (doc, text, h); every row appears, empty sets too."""
 
     def run(batches):
-        counts = np.zeros(SLOTS, dtype=np.int64)
+        blocks = _Blocks()
         for batch in batches:
-            n, keys = [], []
-            for s in _sets(batch.column("text")):
-                n.append(len(s))
-                keys.append(_key(s))
-                counts += np.bincount((s & U64(SLOTS - 1)).astype(np.int64), minlength=SLOTS) if len(s) > SLOTS // 8 else 0
-                if len(s) <= SLOTS // 8:
-                    np.add.at(counts, (s & U64(SLOTS - 1)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.nulls(len(n), pa.list_(pa.int64()))], names=names)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([counts.tolist()], pa.list_(pa.int64()))], names=names)
+            for doc, h, s in zip(batch.column("doc").to_pylist(), batch.column("h").to_pylist(), _sets(batch.column("text"))):
+                yield from blocks.add(doc, h, len(s), s)
+        yield from blocks.flush()
+
+    return texts.select("doc", "text", "h").mapInArrow(run, BLOCK_SCHEMA)
+
+
+def _requests(blocks: DataFrame, bits: int) -> DataFrame:
+    """A row for each block and hash range: the distinct members in order, and how often each occurs in the block."""
+
+    def run(batches):
+        for batch in batches:
+            for block, tokens in zip(batch.column("block").to_pylist(), batch.column("tokens")):
+                members, counts = np.unique(np.frombuffer(tokens.as_buffer(), dtype=U64), return_counts=True)
+                if not len(members):
+                    continue
+                owner = (members >> U64(64 - bits)).astype(np.int32)
+                first = np.flatnonzero(np.diff(owner, prepend=-1))
+                spans = list(zip(first, [*first[1:], len(members)]))
+                packed = [members[a:b].tobytes() for a, b in spans]
+                times = [counts[a:b].astype(np.uint32).tobytes() if (counts[a:b] > 1).any() else b"" for a, b in spans]
+                yield pa.RecordBatch.from_arrays([pa.array(owner[first]), pa.array([block] * len(first), pa.int64()), pa.array(packed, pa.binary()), pa.array(times, pa.binary())], names=["owner", "block", "tokens", "times"])
+
+    return blocks.select("block", "tokens").mapInArrow(run, "owner int, block bigint, tokens binary, times binary")
+
+
+def _counts(requests: DataFrame) -> DataFrame:
+    """For each request the counts of its members over all blocks, packed. requests: the rows of an owner lie together."""
+
+    def run(batches):
+        owner, held = None, []
+        for batch in batches:
+            for own, block, tokens, times in zip(batch.column("owner").to_pylist(), batch.column("block").to_pylist(), batch.column("tokens"), batch.column("times")):
+                if own != owner and held:
+                    yield answer(owner, held)
+                    held = []
+                owner = own
+                held.append((block, np.frombuffer(tokens.as_buffer(), dtype=U64), np.frombuffer(times.as_buffer(), dtype=np.uint32)))
+        if held:
+            yield answer(owner, held)
+
+    def answer(owner, held):
+        parts = [p for _, p, _ in held]
+        weights = np.concatenate([t if len(t) else np.ones(len(p), dtype=np.uint32) for _, p, t in held])
+        _, place = np.unique(np.concatenate(parts), return_inverse=True)
+        total = np.minimum(np.bincount(place, weights=weights), 2**32 - 1).astype(np.uint32)[place]
+        cuts = np.cumsum([0, *map(len, parts)])
+        return pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in held], pa.int64()), pa.array([owner] * len(held), pa.int32()), pa.array([total[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["block", "owner", "counts"])
+
+    return requests.mapInArrow(run, "block bigint, owner int, counts binary")
+
+
+#: A set that may still link: u members no other document has, and the others' hashes and counts, by count, then hash.
+LIVE_SCHEMA = "doc bigint, n bigint, u bigint, k1 bigint, k2 bigint, tokens binary, counts binary"
+LIVE_NAMES = ["doc", "n", "u", "k1", "k2", "tokens", "counts"]
+
+
+def _answered(blocks: DataFrame, replies: DataFrame, schema: str, make) -> DataFrame:
+    """What the generators of ``make()`` give for every block and the counts of its members; replies are merged in order of the hash ranges."""
+
+    def run(batches):
+        one, row, parts = make(), None, []
+        for batch in batches:
+            owners = batch.column("owner").to_pylist()
+            for i, owner in enumerate(owners):
+                if owner < 0:
+                    yield from finish(one, row, parts)
+                    row, parts = {c: batch.column(c)[i] for c in ("docs", "ns", "sizes", "tokens")}, []
+                else:
+                    parts.append(np.frombuffer(batch.column("counts")[i].as_buffer(), dtype=np.uint32))
+        yield from finish(one, row, parts)
+        yield from one.last()
+
+    def finish(one, row, parts):
+        if not parts:
+            return
+        tokens = np.frombuffer(row["tokens"].as_buffer(), dtype=U64)
+        _, place = np.unique(tokens, return_inverse=True)
+        counts = np.concatenate(parts)[place]
+        cuts = np.cumsum([0, *row["sizes"].as_py()])
+        for doc, n, a, b in zip(row["docs"].as_py(), row["ns"].as_py(), cuts[:-1], cuts[1:]):
+            shared = counts[a:b] > 1
+            if doc is not None and n and int(shared.sum()) >= _need(n):
+                yield from one.take(doc, n, tokens[a:b][shared], counts[a:b][shared])
+
+    kinds = {f.name: f.dataType for f in blocks.schema}
+    needed = ["docs", "ns", "sizes", "tokens"]
+    asked = blocks.select("block", F.lit(-1).alias("owner"), *needed, F.lit(None).cast("binary").alias("counts"))
+    told = replies.select("block", "owner", *[F.lit(None).cast(kinds[c]).alias(c) for c in needed], "counts")
+    return asked.unionAll(told).repartition("block").sortWithinPartitions("block", "owner").mapInArrow(run, schema)
+
+
+class _AsBlocks:
+    """Sets that may link, as blocks of the members that others have."""
+
+    def __init__(self):
+        self.blocks = _Blocks()
+
+    def take(self, doc, n, members, counts):
+        yield from self.blocks.add(doc, None, n, members)
 
-    names = ["doc_id", "n", "k1", "k2", "counts"]
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, k1 bigint, k2 bigint, counts array<bigint>")
+    def last(self):
+        yield from self.blocks.flush()
 
 
-def choose_shared(n: int, freq: np.ndarray) -> int:
-    """The l of least estimated cost for a set of n members whose frequencies, in order, start with ``freq``.
+class _AsRows:
+    """Sets that may link, as LIVE_SCHEMA rows."""
+
+    def __init__(self):
+        self.rows, self.size = [], 0
+
+    def take(self, doc, n, members, counts):
+        order = np.lexsort((members, counts))
+        self.rows.append((doc, n, n - len(members), *_key(members), members[order].tobytes(), counts[order].tobytes()))
+        self.size += len(members)
+        if self.size > 1 << 17:
+            yield from self.last()
+
+    def last(self):
+        if self.rows:
+            kinds = [pa.int64()] * 5 + [pa.binary()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*self.rows), kinds)], names=LIVE_NAMES)
+            self.rows, self.size = [], 0
+
+
+def may_link(blocks: DataFrame, schema: str, make) -> DataFrame:
+    """The sets of the written table ``blocks`` of whose members enough occur in others, as ``make`` puts them."""
+    total = blocks.agg(F.sum(F.length("tokens"))).first()[0] or 0
+    bits = max(8, int(total // 8 // RANGE).bit_length())
+    replies = _counts(_requests(blocks, bits).repartition("owner").sortWithinPartitions("owner"))
+    return _answered(blocks, replies, schema, make)
+
+
+def choose_shared(n: int, left: int, freq: np.ndarray) -> int:
+    """The l of least estimated cost for a set of n members of which ``left`` are shared; ``freq``: their counts in order.
 
     Postings read cost 1 each; candidates are at most the postings over l, and verifying one costs about n / 16.
     """
-    base, most = n - _need(n), min(MOST_SHARED, _need(n))
-    sums = np.cumsum(freq)
+    base, most = left - _need(n), min(MOST_SHARED, _need(n))
+    sums = np.cumsum(freq[: base + most].astype(np.float64))
     best, least = 1, np.inf
     for shared in range(1, most + 1):
         read = float(sums[base + shared - 1])
@@ -106,125 +264,76 @@ def choose_shared(n: int, freq: np.ndarray) -> int:
     return best
 
 
-def parity_bitmap(s: np.ndarray) -> bytes:
-    """A bit for each residue of the hashes: whether an odd number of members has it. As many bits as members, up to a power of 2."""
-    width = max(64, 1 << int(len(s) - 1).bit_length()) if len(s) else 64
-    return np.packbits(np.bincount((s >> U64(20) & U64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8).tobytes()
-
-
-def bitmap_distance(a: bytes, b: bytes) -> int:
-    """At most the size of the symmetric difference."""
-    x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
-    if len(x) < len(y):
-        x, y = y, x
-    while len(x) > len(y):
-        half = len(x) // 2
-        x = x[:half] ^ x[half:]
-    return int(np.bitwise_count(x ^ y).sum())
+POSTING_NAMES = ["token", "part", "doc", "n", "u", "l", "level", "hot"]
 
 
-PREFIX_SCHEMA = "doc bigint, n bigint, l int, cold int, tokens array<bigint>, bits binary"
-
-
-def prefixes(texts: DataFrame, counts, total_docs: int) -> DataFrame:
-    """PREFIX_SCHEMA of each row of (doc_id, text): tokens in the common order; those from place ``cold`` on are hot."""
+def postings(live: DataFrame) -> DataFrame:
+    """(token, part, doc, n, u, l, level, hot) of each prefix member that other documents have. hot: dealt in parts."""
 
     def run(batches):
-        freq = counts.value
-        usual = float(freq.mean())
         for batch in batches:
-            rows = []
-            for doc, s in zip(batch.column("doc_id").to_pylist(), _sets(batch.column("text"))):
-                n = len(s)
-                if not n:
-                    continue
-                f = freq[(s & U64(SLOTS - 1)).astype(np.int64)]
-                keep = n - _need(n) + min(MOST_SHARED, _need(n))
-                order = np.lexsort((s, f))[:keep] if keep >= n or n < 64 else _first_by(f, s, keep)
-                f = f[order]
-                shared = choose_shared(n, np.maximum(1.0, f - usual))
-                size = n - _need(n) + shared
-                hot = f[:size] - usual > HOT_SHARE * total_docs
-                rows.append((doc, n, shared, int(hot.argmax()) if hot.any() else size, s[order[:size]].view(np.int64), parity_bitmap(s)))
-                if len(rows) >= 1000:
+            rows, size = [], 0
+            for doc, n, u, tokens, counts in zip(*[batch.column(c).to_pylist() for c in ("doc", "n", "u")], batch.column("tokens"), batch.column("counts")):
+                own, freq = np.frombuffer(tokens.as_buffer(), dtype=np.int64), np.frombuffer(counts.as_buffer(), dtype=np.uint32)
+                base = len(own) - _need(n)
+                shared = choose_shared(n, len(own), freq)
+                size_ = base + shared
+                own, freq = own[:size_], freq[:size_]
+                parts = freq.astype(np.int64) // PART + 1
+                level = np.maximum(1, np.arange(1, size_ + 1) - base)
+                hot = parts > 1
+                part = np.where(hot, (mix(own.view(U64) ^ U64(doc * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) % parts.astype(U64)).astype(np.int64), 0)
+                rows.append(np.column_stack([own, part, *[np.full(size_, x) for x in (doc, n, u, shared)], level, hot]))
+                size += size_
+                if size > 1 << 17:
                     yield emit(rows)
-                    rows = []
+                    rows, size = [], 0
             if rows:
                 yield emit(rows)
 
     def emit(rows):
-        doc, n, shared, cold, tokens, bits = zip(*rows)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(t) for t in tokens])]), pa.int32()), pa.array(np.concatenate(tokens)))
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(shared, pa.int32()), pa.array(cold, pa.int32()), lists, pa.array(bits, pa.binary())], names=["doc", "n", "l", "cold", "tokens", "bits"])
-
-    return texts.select("doc_id", "text").mapInArrow(run, PREFIX_SCHEMA)
-
+        table = np.concatenate(rows)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in table.T], names=POSTING_NAMES)
 
-def _first_by(f: np.ndarray, s: np.ndarray, keep: int) -> np.ndarray:
-    """The first ``keep`` of the order by f, then s (as unsigned numbers)."""
-    edge = np.partition(f, keep - 1)[keep - 1]
-    near = np.flatnonzero(f <= edge)
-    return near[np.lexsort((s[near], f[near]))[:keep]]
+    return live.select("doc", "n", "u", "tokens", "counts").mapInArrow(run, ", ".join(f"{c} bigint" for c in POSTING_NAMES))
 
 
-def postings(prefix: DataFrame, only=None) -> DataFrame:
-    """(token, salt, place, doc, n, l, level, hot) of each prefix member. only: a bitmap of tokens that may be wanted."""
-
-    def run(batches):
-        for batch in batches:
-            tokens, docs = batch.column("tokens"), batch.column("doc").to_numpy()
-            n, shared, cold = (batch.column(c).to_numpy() for c in ("n", "l", "cold"))
-            sizes = np.diff(tokens.offsets.to_numpy())
-            token = tokens.flatten().to_numpy()
-            row = np.repeat(np.arange(len(docs)), sizes)
-            place = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            if only is not None:
-                use = test(only.value, token)
-                token, row, place = token[use], row[use], place[use]
-            need = (4 * n + 4) // 5
-            level = np.maximum(1, place + 1 - (n - need)[row]).astype(np.int32)
-            hot = place >= cold[row]
-            salt = np.where(hot, (mix((token ^ docs[row] * np.int64(0x9E3779B1)).view(U64)) % U64(SALTS)).astype(np.int32), 0).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(salt), pa.array(place.astype(np.int32)), pa.array(docs[row]), pa.array(n[row]), pa.array(shared[row].astype(np.int32)), pa.array(level), pa.array(hot)], names=["token", "salt", "place", "doc", "n", "l", "level", "hot"])
-
-    return prefix.select("doc", "n", "l", "cold", "tokens").mapInArrow(run, "token bigint, salt int, place int, doc bigint, n bigint, l int, level int, hot boolean")
+#: kind 0: x and y share a token that counts; 1: y is to be compared with x, the first of a long list; 2: x is the token of a long list.
+FOUND_SCHEMA = "kind int, x bigint, y bigint, l bigint"
 
 
-#: kind 0: x and y share a token that counts; 1: y is to be compared with x, the first of a long list; 2: x is the token of a long list;
-#: 3: l of x's tokens are in lists with others.
-FOUND_SCHEMA = "kind int, x bigint, y bigint, l int"
+def _may_link(nx, ux, ny, uy):
+    """Sizes allow it, and members of their own are at most a ninth of both sizes."""
+    return (5 * np.minimum(nx, ny) >= 4 * np.maximum(nx, ny)) & (9 * (ux + uy) <= nx + ny)
 
 
 def scan_lists(sorted_postings: DataFrame) -> DataFrame:
-    """FOUND_SCHEMA from postings sorted by token, salt, place and doc within partitions; a list is never held as a whole.
-
-    First in a list is the document with the fewest rarer shingles, which of edited copies is the one edited least.
-    """
-    names = ["token", "salt", "doc", "n", "l", "level", "hot"]
+    """FOUND_SCHEMA from postings sorted by token, part, u and doc within partitions; a list is never held as a whole."""
+    names = ["token", "part", "doc", "n", "u", "l", "level", "hot"]
+    small = SMALL_LIST
 
     def run(batches):
-        pending = {c: np.zeros(0, dtype=np.int64) for c in names}
-        going = None  # (token, salt, leader, its n) of a long list that earlier batches began
+        empty = {c: np.zeros(0, dtype=np.int64) for c in names}
+        pending, going = empty, None  # going: token, part, leader, its n and u of a long list that earlier batches began
         for batch in batches:
-            now = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names}
+            now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
             if going is not None:
-                same = (now["token"] == going[0]) & (now["salt"] == going[1])
+                same = (now["token"] == going[0]) & (now["part"] == going[1])
                 run_ = len(same) if same.all() else int(same.argmin())
                 if run_:
-                    yield from stars(np.full(run_, going[2]), np.full(run_, going[3]), now["doc"][:run_], now["n"][:run_])
-                    yield from counted(now["doc"][:run_])
+                    yield from stars(*[np.full(run_, x) for x in going[2:]], *[now[c][:run_] for c in ("doc", "n", "u")])
                     now = {c: a[run_:] for c, a in now.items()}
                 if not len(now["doc"]):
                     continue
                 going = None
             now = {c: np.concatenate([pending[c], a]) for c, a in now.items()}
             size = len(now["doc"])
-            new = np.flatnonzero((np.diff(now["token"]) != 0) | (np.diff(now["salt"]) != 0)) + 1
+            new = np.flatnonzero((np.diff(now["token"]) != 0) | (np.diff(now["part"]) != 0)) + 1
             first = np.concatenate([[0], new])
             last = int(first[-1])
-            if size - last > SMALL_LIST or now["hot"][last]:
-                going = (now["token"][last], now["salt"][last], now["doc"][last], now["n"][last])
-                pending = {c: np.zeros(0, dtype=np.int64) for c in names}
+            if size - last > small or now["hot"][last]:
+                going = tuple(now[c][last] for c in ("token", "part", "doc", "n", "u"))
+                pending = empty
             else:
                 pending = {c: a[last:] for c, a in now.items()}
                 now, first = {c: a[:last] for c, a in now.items()}, first[:-1]
@@ -236,80 +345,75 @@ def scan_lists(sorted_postings: DataFrame) -> DataFrame:
         if not len(first):
             return
         sizes = np.diff(np.concatenate([first, [len(now["doc"])]]))
-        long = (sizes > SMALL_LIST) | (now["hot"][first] > 0)
-        yield from counted(now["doc"][np.repeat(long | (sizes > 1), sizes)])
-        own = np.repeat(first, sizes)
-        rows = np.repeat(long, sizes)
-        yield from stars(now["doc"][own[rows]], now["n"][own[rows]], now["doc"][rows], now["n"][rows])
+        long = (sizes > small) | (now["hot"][first] > 0)
+        own, rows = np.repeat(first, sizes), np.repeat(long, sizes)
+        yield from stars(*[now[c][own[rows]] for c in ("doc", "n", "u")], *[now[c][rows] for c in ("doc", "n", "u")])
         if long.any():
-            yield out(2, now["token"][first[long]], now["token"][first[long]], np.zeros(int(long.sum())))
-        for k in range(2, SMALL_LIST + 1):
+            token = now["token"][first[long]]
+            yield out(2, token, token, np.zeros(len(token), dtype=np.int64))
+        for k in range(2, small + 1):
             at = first[(sizes == k) & ~long]
             if not len(at):
                 continue
             a, b = np.triu_indices(k, 1)
             i, j = (at[:, None] + a).ravel(), (at[:, None] + b).ravel()
             shared = np.minimum(now["l"][i], now["l"][j])
-            use = (np.maximum(now["level"][i], now["level"][j]) <= shared) & fits(now["n"][i], now["n"][j]) & (now["doc"][i] != now["doc"][j])
+            use = (np.maximum(now["level"][i], now["level"][j]) <= shared) & _may_link(now["n"][i], now["u"][i], now["n"][j], now["u"][j]) & (now["doc"][i] != now["doc"][j])
             yield out(0, now["doc"][i][use], now["doc"][j][use], shared[use])
 
-    def stars(leader, its_n, doc, n):
-        use = (leader != doc) & fits(its_n, n)
+    def stars(leader, its_n, its_u, doc, n, u):
+        use = (leader != doc) & _may_link(its_n, its_u, n, u)
         if use.any():
-            pairs = np.unique(np.column_stack([leader[use], doc[use]]), axis=0)
-            yield out(1, pairs[:, 0], pairs[:, 1], np.zeros(len(pairs)))
-
-    def counted(docs):
-        if len(docs):
-            own, count = np.unique(docs, return_counts=True)
-            yield out(3, own, own, count)
-
-    def fits(n, m):
-        return 5 * np.minimum(n, m) >= 4 * np.maximum(n, m)
+            pairs, count = np.unique(np.column_stack([leader[use], doc[use]]), axis=0, return_counts=True)
+            yield out(1, pairs[:, 0], pairs[:, 1], count)
 
     def out(kind, x, y, shared):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, dtype=np.int32)), pa.array(x.astype(np.int64)), pa.array(y.astype(np.int64)), pa.array(shared.astype(np.int32))], names=["kind", "x", "y", "l"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, dtype=np.int32)), pa.array(np.ascontiguousarray(x)), pa.array(np.ascontiguousarray(y)), pa.array(shared)], names=["kind", "x", "y", "l"])
 
     return sorted_postings.mapInArrow(run, FOUND_SCHEMA)
 
 
-def _bound(nx: pa.Array, bx: pa.Array, ny: pa.Array, by: pa.Array) -> pa.Array:
-    """The bitmap distance where it allows a link (at most a ninth of both sizes), else null."""
-    sizes = nx.to_numpy() + ny.to_numpy()
-    out = [bitmap_distance(a.as_buffer(), b.as_buffer()) for a, b in zip(bx, by)]
-    return pa.array([d if 9 * d <= s else None for d, s in zip(out, sizes)], pa.int64())
-
+def _deals(spark: SparkSession) -> int:
+    """Into how many parts the pairs of a document may be dealt: as many as a shuffle has tasks."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-def _linked(sx: pa.Array, sy: pa.Array) -> pa.Array:
-    """Whether 100 * intersection >= 80 * union."""
-    out = []
-    for a, b in zip(sx, sy):
-        a, b = np.frombuffer(a.as_buffer(), dtype=U64), np.frombuffer(b.as_buffer(), dtype=U64)
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        out.append(100 * both >= 80 * (len(a) + len(b) - both))
-    return pa.array(out, pa.bool_())
 
+def verify(pairs: DataFrame, live: DataFrame) -> DataFrame:
+    """The pairs (x, y) whose sets link. pairs: a written table.
 
-def possible(pairs: DataFrame, prefix: DataFrame) -> DataFrame:
-    """(x, y, d) of the pairs that their bitmaps allow."""
-    bits = prefix.select("doc", "n", "bits")
-    met = pairs.select("x", "y").join(bits.toDF("x", "nx", "bx"), "x").join(bits.toDF("y", "ny", "by"), "y")
-    return met.withColumn("d", F.arrow_udf(_bound, T.LongType())("nx", "bx", "ny", "by")).where("d is not null").select("x", "y", "d")
-
-
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (x, y) whose sets link. pairs: a written table."""
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("doc")).distinct()
-    near = docs.select("doc_id", "text").where(maybe_in(bitmap_of(wanted), F.col("doc_id")))
+    For each x the others stream past its set; pairs of one x are dealt over tasks, each with the set once.
+    """
+    dealt = pairs.select("x", "y", F.pmod(F.xxhash64("y"), F.lit(_deals(pairs.sparkSession))).alias("part"))
+    sets = live.select(F.col("doc"), "n", "tokens")
+    heads = dealt.select("x", "part").distinct().join(sets.withColumnRenamed("doc", "x"), "x").select("x", "part", F.lit(None).cast("bigint").alias("y"), "n", "tokens")
+    rest = dealt.join(sets.withColumnRenamed("doc", "y"), "y").select("x", "part", "y", "n", "tokens")
 
     def run(batches):
+        at, held = None, []
         for batch in batches:
-            sets = [s.tobytes() for s in _sets(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["doc", "s"])
-
-    sets = near.join(wanted.withColumnRenamed("doc", "doc_id"), "doc_id").select("doc_id", "text").mapInArrow(run, "doc bigint, s binary")
-    met = pairs.select("x", "y").join(sets.toDF("x", "sx"), "x").join(sets.toDF("y", "sy"), "y")
-    return met.where(F.arrow_udf(_linked, T.BooleanType())("sx", "sy")).select("x", "y")
+            xs, ys = [], []
+            for x, part, y, n, tokens in zip(*[batch.column(c).to_pylist() for c in ("x", "part", "y", "n")], batch.column("tokens")):
+                own = np.frombuffer(tokens.as_buffer(), dtype=U64)
+                if (x, part) != at:
+                    at, held = (x, part), []
+                if y is None:
+                    held.append((n, np.sort(own)))
+                elif any(_linked(other, n, own, m) for m, other in held):
+                    xs.append(x)
+                    ys.append(y)
+            if xs:
+                yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["x", "y"])
+
+    together = heads.unionAll(rest).repartition("x", "part").sortWithinPartitions("x", "part", F.col("y").asc_nulls_first())
+    return together.mapInArrow(run, "x bigint, y bigint").distinct()
+
+
+def _linked(s: np.ndarray, n: int, other: np.ndarray, m: int) -> bool:
+    """Whether 100 * intersection >= 80 * union, for sorted members ``s`` of a set of size m and ``other`` of one of size n."""
+    at = np.searchsorted(s, other)
+    at[at == len(s)] = 0
+    both = int((s[at] == other).sum())
+    return 100 * both >= 80 * (n + m - both)
 
 
 def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -326,97 +430,109 @@ def _merge(links: DataFrame, parts: DataFrame | None) -> DataFrame:
     return materialize(connected_components(edges), "components")
 
 
-def _link(pairs: DataFrame, parts: DataFrame | None, prefix: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """Components once the links among ``pairs`` (x, y) are added to ``parts``."""
-    left = materialize(possible(pairs, prefix), "pairs")
-    if parts is not None:
-        left = materialize(_apart(left, parts), "pairs")
+def _link(pairs: DataFrame, parts: DataFrame | None, live: DataFrame) -> DataFrame | None:
+    """Components once the links among ``pairs`` (x, y, k: common members seen) are added to ``parts``."""
+    left = materialize(_apart(pairs, parts) if parts is not None else pairs, "pairs")
     if left.isEmpty():
         return parts
-    best = materialize(left.groupBy("y").agg(F.min(F.struct("d", "x")).alias("b")).select("b.x", "y"), "pairs")
-    parts = _merge(verify(best, docs), parts)
+    best = materialize(left.groupBy("y").agg(F.min(F.struct((-F.col("k")).alias("k"), "x")).alias("b")).select("b.x", "y"), "pairs")
+    parts = _merge(verify(best, live), parts)
     rest = materialize(_apart(left.join(best, ["x", "y"], "left_anti"), parts).select("x", "y"), "pairs")
     if not rest.isEmpty():
-        parts = _merge(verify(rest, docs), parts)
+        parts = _merge(verify(rest, live), parts)
     return parts
 
 
-def _long_lists(prefix: DataFrame, tokens: DataFrame, parts: DataFrame | None, shared: DataFrame, short: DataFrame) -> DataFrame:
-    """(x, y) of documents of different components that share enough tokens, one in a long list at least. shared: (doc, s).
+def _long_lists(lists: DataFrame, tokens: DataFrame, parts: DataFrame | None, short: DataFrame) -> DataFrame:
+    """(x, y, k) of documents of different components that share enough tokens, one in a long list at least. lists: the written postings.
 
     short: (x, y, k, l) of the pairs with k common tokens in short lists, fewer than the l they need; the count in
     long lists adds to k.
 
-    Of a list, the members outside its largest component meet all others; members of one component never meet.
-    What two sets share beyond their prefixes is at most need - l of one of them, and what they share within is at
-    most s, the members of a prefix that are in any other prefix. Where both together miss four ninths of the
-    sizes the pair cannot link: so end most edited copies that are too far apart.
+    ``slack`` is n - 9 u: two documents can only link if theirs add up to 0 or more. Of a list only the documents go
+    on that could link with the greatest slack outside their own component; so end edited copies that are too far
+    from all others. Of those the members outside the largest component meet all others.
     """
-    rows = postings(prefix, bitmap_of(tokens)).join(tokens, "token").select("token", "doc", "n", "l", "level")
+    rows = lists.join(tokens, "token").select("token", "doc", "n", "l", "level", (F.col("n") - 9 * F.col("u")).alias("slack"))
     comp = F.col("doc")
     if parts is not None:
         rows = rows.join(parts.select(F.col("node").alias("doc"), "root"), "doc", "left")
         comp = F.coalesce("root", "doc")
-    rows = materialize(rows.withColumn("c", comp).drop("root").join(shared, "doc"), "long-lists")
-    shares = rows.groupBy("token", "c").agg(F.count("*").alias("k"))
-    major = shares.groupBy("token").agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("token", F.col("m.c").alias("major"))
-    rows = materialize(rows.join(major, "token"), "long-lists")
-    few = rows.where("c <> major").select("token", F.col("doc").alias("xd"), F.col("n").alias("xn"), F.col("l").alias("xl"), F.col("level").alias("xv"), F.col("c").alias("xc"), F.col("s").alias("xs"))
-    met = few.join(rows, "token").where("xc <> c and (c = major or xd < doc) and 5 * least(xn, n) >= 4 * greatest(xn, n) and 9 * (least(xs, s) + greatest((4 * xn + 4) div 5 - xl, (4 * n + 4) div 5 - l)) >= 4 * (xn + n) and greatest(xv, level) <= least(xl, l)")
+    rows = materialize(rows.withColumn("c", comp).drop("root"), "long-lists")
+    for _ in range(2):  # the second time among those that the first left
+        shares = rows.groupBy("token", "c").agg(F.count("*").alias("k"), F.max("slack").alias("slack"))
+        two = shares.groupBy("token").agg(F.max(F.struct("slack", "c")).alias("m"), F.max(F.struct("k", "c")).alias("w"), F.count("*").alias("parts")).where("parts > 1")
+        second = shares.join(two.select("token", F.col("m.c").alias("mc")), "token").where("c <> mc").groupBy("token").agg(F.max("slack").alias("next"))
+        bounds = two.select("token", F.col("m.slack").alias("most"), F.col("m.c").alias("most_c"), F.col("w.c").alias("major")).join(second, "token")
+        rows = materialize(rows.drop("major").join(bounds, "token").where("slack + if(c = most_c, next, most) >= 0").drop("most", "most_c", "next"), "long-lists")
+    few = rows.where("c <> major").select("token", F.col("doc").alias("xd"), F.col("n").alias("xn"), F.col("l").alias("xl"), F.col("level").alias("xv"), F.col("c").alias("xc"), F.col("slack").alias("xs"))
+    met = few.join(rows, "token").where("xc <> c and (c = major or xd < doc) and 5 * least(xn, n) >= 4 * greatest(xn, n) and xs + slack >= 0 and greatest(xv, level) <= least(xl, l)")
     counts = met.select(F.least("xd", "doc").alias("x"), F.greatest("xd", "doc").alias("y"), F.lit(1).cast("bigint").alias("k"), F.least("xl", "l").alias("l"))
-    return counts.unionAll(short).groupBy("x", "y").agg(F.sum("k").alias("k"), F.min("l").alias("l")).where("k >= l").select("x", "y")
+    return counts.unionAll(short).groupBy("x", "y").agg(F.sum("k").alias("k"), F.min("l").alias("l")).where("k >= l").select("x", "y", "k")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    described = materialize(describe(docs), "described")
-    each = described.where("n >= 0").drop("counts")
-    counts = np.zeros(SLOTS, dtype=np.int64)
-    for row in described.where("n < 0").select(F.posexplode("counts").alias("i", "c")).where("c > 0").groupBy("i").agg(F.sum("c").alias("c")).collect():
-        counts[row.i] = row.c
-    counts = spark.sparkContext.broadcast(counts)
-
-    classes = materialize(each.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")), "classes")
-    total = classes.agg(F.sum("members")).first()[0] or 0
-    chosen = classes.select(F.col("rep").alias("doc_id")).distinct()
-    copies = each.where("n > 0").join(classes.where("members > 1"), ["k1", "k2"]).where("doc_id <> rep").select("doc_id").distinct()
-    copied = bitmap_of(copies)
-    usable = docs.where("doc_id is not null")
-    flagged = usable.withColumn("_c", maybe_in(copied, F.col("doc_id")))
-    alone = flagged.where("not _c").select("doc_id", "text")
-    checked = flagged.where("_c").select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text")
-    prefix = materialize(prefixes(alone, counts, total).unionAll(prefixes(checked, counts, total)), "prefixes")
-
-    found = materialize(scan_lists(postings(prefix).repartition("token", "salt").sortWithinPartitions("token", "salt", "place", "doc")), "found")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    hashed = rows.withColumn("h", F.unhex(F.sha2("text", 256)))
+    each = materialize(hashed.select("doc", "h"), "each")
+    classes = materialize(each.groupBy("h").agg(F.min("doc").alias("node"), F.count("*").alias("members")), "classes")
+    known = classes.where("members > 1").select(F.col("h").alias("ch"), "node")
+    copies = each.join(known, (F.col("h") == F.col("ch")) & ~F.col("doc").eqNullSafe(F.col("node"))).select(F.col("doc").alias("cd"), "ch").distinct()
+    copies = materialize(copies, "copies")
+    first = hashed.join(copies, F.col("doc").eqNullSafe(F.col("cd")) & (F.col("h") == F.col("ch")), "left_anti")
+    blocks = materialize(set_blocks(first), "set-blocks")
+    sizes = materialize(blocks.select(F.explode(F.arrays_zip("hs", "ns")).alias("s")).groupBy(F.col("s.hs").alias("h")).agg(F.min("s.ns").alias("n")), "sizes")
+    release(spark)
+    some = materialize(may_link(blocks, BLOCK_SCHEMA, _AsBlocks), "live-blocks")
+    drop_table(blocks)
+    release(spark)
+    live = materialize(may_link(some, LIVE_SCHEMA, _AsRows), "live")
+    drop_table(some)
+    parts = _components(live)
+    drop_table(live)
     release(spark)
+
+    known = classes.select("h", "node").join(sizes, "h")
+    if parts is not None:
+        known = known.join(parts, "node", "left").withColumn("node", F.coalesce("root", "node"))
+    known = materialize(known.select("h", "n", "node"), "known")
+    component = F.when(F.col("doc").isNull() | (F.col("n") == 0), F.col("doc")).otherwise(F.col("node"))
+    return each.join(known, "h").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def _components(live: DataFrame) -> DataFrame | None:
+    """(node, root) of the documents of ``live`` that link; None if none does."""
+    equal = live.groupBy("n", "k1", "k2").agg(F.min("doc").alias("x"), F.count("*").alias("members")).where("members > 1")
+    equal = materialize(live.select("doc", "n", "k1", "k2").join(equal, ["n", "k1", "k2"]).where("doc <> x").select("x", F.col("doc").alias("y"), "n", "k1", "k2").distinct(), "equal-sets")
+    parts = None if equal.isEmpty() else _merge(equal, None)
+    others = equal.select(F.col("y").alias("doc"), "n", "k1", "k2")
+    live = live.join(others, ["doc", "n", "k1", "k2"], "left_anti")
+    lists = materialize(postings(live), "postings")
+    dealt = lists.repartition("token", "part").sortWithinPartitions("token", "part", "u", "doc")
+    found = materialize(scan_lists(dealt), "found")
     few = found.where("kind = 0").groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count("*").alias("k"), F.min("l").alias("l"))
-    pairs = few.where("k >= l").select("x", "y").unionAll(found.where("kind = 1").select("x", "y")).distinct()
-    parts = _link(pairs, None, prefix, docs)
+    stars = found.where("kind = 1").groupBy("x", "y").agg(F.sum("l").alias("k"))
+    pairs = few.where("k >= l").select("x", "y", "k").unionAll(stars).groupBy("x", "y").agg(F.sum("k").alias("k"))
+    parts = _link(pairs, parts, live)
     tokens = materialize(found.where("kind = 2").select(F.col("x").alias("token")).distinct(), "tokens")
     if not tokens.isEmpty():
-        shared = materialize(found.where("kind = 3").groupBy(F.col("x").alias("doc")).agg(F.sum("l").alias("s")), "shared")
-        parts = _link(_long_lists(prefix, tokens, parts, shared, few.where("k < l")), parts, prefix, docs)
+        parts = _link(_long_lists(lists, tokens, parts, few.where("k < l")), parts, live)
     drop_table(found)
-    drop_table(prefix)
-    release(spark)
-
-    known = classes.select("k1", "k2", "rep")
-    if parts is not None:
-        known = known.join(parts.select(F.col("node").alias("rep"), "root"), "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("component_id"))
-    else:
-        known = known.withColumnRenamed("rep", "component_id")
-    filled = each.where("n > 0 and doc_id is not null").join(known, ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    bare = each.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return filled.unionAll(bare)
+    drop_table(lists)
+    return parts
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each component: that of the least doc_id, once; rows with a null doc_id stay."""
     groups = materialize(near_duplicates(docs), "groups")
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    near = docs.join(kept, "doc_id", "left_semi")
-    order = W.Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    once = near.withColumn("_k", F.row_number().over(order)).where("_k = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return once.unionAll(docs.where("doc_id is null"))
+    taken, own = unused(docs, "taken"), [F.col(f"`{c}`") for c in docs.columns]
+    dropped = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(taken)).distinct()
+    kept = docs.join(dropped, F.col("doc_id") == F.col(taken), "left_anti")
+    again = materialize(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(taken)), "repeated")
+    if again.isEmpty():
+        return kept
+    order = W.Window.partitionBy("doc_id").orderBy(F.xxhash64(*own))
+    once = kept.join(again, F.col("doc_id") == F.col(taken), "left_semi").withColumn(taken, F.row_number().over(order)).where(F.col(taken) == 1).select(*own)
+    return kept.join(again, F.col("doc_id") == F.col(taken), "left_anti").unionAll(once)

@@ -7,6 +7,7 @@ UTF-8 sequences never start or end a word by themselves.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,31 +49,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 BYTE_KEYS = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-MULT = U64(0xD6E8FEB86659FD93)
-
-
-def _powers(n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate([np.ones(1, dtype=U64), np.full(n - 1, MULT, dtype=U64)]), dtype=U64)
-
-
-POWERS = _powers(1 << 12)
 #: Weights of the places of a window of words.
 PLACES = mix(np.arange(7, 7 + 64, dtype=U64) * U64(0xA24BAED4963EE407)) | U64(1)
-
-
-def power(exponents: np.ndarray) -> np.ndarray:
-    """MULT to the given powers, modulo 2**64."""
-    n = len(POWERS)
-    if not len(exponents) or int(exponents.max()) < n:
-        return POWERS[exponents]
-    with np.errstate(over="ignore"):
-        high = exponents // n
-        base = _powers(2)[1]
-        for _ in range(12):
-            base = base * base
-        steps = np.cumprod(np.concatenate([np.ones(1, dtype=U64), np.full(int(high.max()), base, dtype=U64)]), dtype=U64)
-        return POWERS[exponents % n] * steps[high]
+LANE, LANES = 8, 2
+#: By the number of bytes of a lane that count, the mask of those bytes of a little-endian word.
+MASKS = np.array([(1 << (8 * k)) - 1 for k in range(LANE + 1)], dtype=U64)
 
 
 def slices(column: pa.Array | pa.ChunkedArray, size: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -104,47 +85,46 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     first: np.ndarray
-    keys: np.ndarray | None = None
-    at: np.ndarray | None = None
+    lanes: np.ndarray
 
     def prefix_hashes(self, n: int) -> np.ndarray:
-        """Hashes of the first ``n`` bytes of the words longer than ``n``; 0 for others."""
-        lens = self.ends - self.starts
-        long = lens > n
-        out = np.zeros(len(lens), dtype=U64)
-        begin = self.at[long]
-        with np.errstate(over="ignore"):
-            acc = np.zeros(len(begin), dtype=U64)
-            for k in range(n):
-                acc += self.keys[begin + k]
-            out[long] = mix(acc + U64(n) * PLACES[63])
+        """Hashes of the first ``n`` bytes, at most a lane, of the words longer than ``n``; 0 for others."""
+        long = self.ends - self.starts > n
+        out = np.zeros(len(self.starts), dtype=U64)
+        out[long] = mix((self.lanes[self.starts[long]] & MASKS[n]) ^ PLACES[63])
         return out
 
 
-def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, keep: bool = False) -> Words:
-    """Lower-case A-Z and take the words of each row. keep: leave what ``prefix_hashes`` needs."""
-    low = LOWER[data]
-    inside = is_word[low]
+def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> Words:
+    """Lower-case A-Z and take the words of each row.
+
+    A word's hash is a chain of bijective mixes over its bytes, eight at a time, so words of up to eight bytes and
+    one length never share a hash; a word of over ``LANES`` lanes has its BLAKE2 digest. No sum or polynomial of
+    the bytes is involved, so no family of words collides by construction.
+    """
+    low = np.zeros(len(data) + LANE, dtype=np.uint8)
+    low[: len(data)] = LOWER[data]
+    lanes = np.ndarray((len(data) + 1,), dtype="<u8", buffer=low, strides=(1,))
+    inside = is_word[low[: len(data)]]
     before = np.empty_like(inside)
     after = np.empty_like(inside)
-    if len(low):
+    if len(data):
         before[0], before[1:] = False, inside[:-1]
         after[-1], after[:-1] = False, inside[1:]
-        cuts = offsets[(offsets > 0) & (offsets < len(low))]
+        cuts = offsets[(offsets > 0) & (offsets < len(data))]
         before[cuts] = False
         after[cuts - 1] = False
     starts = np.flatnonzero(inside & ~before)
     ends = np.flatnonzero(inside & ~after) + 1
-    first = np.searchsorted(starts, offsets)
-    if not len(starts):
-        return Words(np.zeros(0, dtype=U64), starts, ends, first, np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64))
-    used = low[inside]
     lens = ends - starts
-    at = np.concatenate([[0], np.cumsum(lens[:-1])])
-    with np.errstate(over="ignore"):
-        keys = BYTE_KEYS[used] * power(np.arange(len(used)) - np.repeat(at, lens))
-        hashes = mix(np.add.reduceat(keys, at) + lens.astype(U64) * PLACES[62])
-    return Words(hashes, starts, ends, first, keys if keep else None, at if keep else None)
+    hashes = mix((lanes[starts] & MASKS[np.minimum(lens, LANE)]) ^ mix(lens.astype(U64)))
+    more = np.flatnonzero(lens > LANE)
+    if len(more):
+        left = lens[more] - LANE
+        hashes[more] = mix(hashes[more] ^ (lanes[starts[more] + LANE] & MASKS[np.minimum(left, LANE)]))
+        for k in more[left > LANE * (LANES - 1)]:
+            hashes[k] = int.from_bytes(hashlib.blake2b(low[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return Words(hashes, starts, ends, np.searchsorted(starts, offsets), lanes)
 
 
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:

@@ -3,21 +3,28 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where unset, as in tests, a new one is made and kept for the session."""
+    """The folder named by ``spark.checkpoint.dir``, which the session must set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="graticule-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        raise ValueError("spark.checkpoint.dir is unset: it must name a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one, that no column of ``df`` has in any case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back, which cuts its lineage.
 

@@ -63,18 +63,18 @@ def test_equals_brute_force(spark):
     assert found(spark, rows) == brute(rows)
 
 
-@pytest.mark.parametrize("small, hot", [(2, 2.0), (3, 0.01)])
-def test_long_and_hot_lists_lose_nothing(spark, monkeypatch, small, hot):
+@pytest.mark.parametrize("small, part", [(2, 1000), (3, 5)])
+def test_long_and_hot_lists_lose_nothing(spark, monkeypatch, small, part):
     """The values travel with the functions that use them, which are pickled by value."""
     rows = corpus(2, groups=4, size=30, alone=30)
     monkeypatch.setattr(nearjoin, "SMALL_LIST", small)
-    monkeypatch.setattr(nearjoin, "HOT_SHARE", hot)
+    monkeypatch.setattr(nearjoin, "PART", part)
+    monkeypatch.setattr(nearjoin, "BLOCK", 200)
     assert found(spark, rows) == brute(rows)
 
 
-def test_common_members_in_short_and_long_lists_add_up(spark, monkeypatch):
+def test_common_members_in_short_and_long_lists_add_up(spark):
     """The last two texts link; of their three common prefix members one is in a short list and two in long ones, whose leader is another text."""
-    monkeypatch.setattr(nearjoin, "HOT_SHARE", 2.0)
     passage = " ".join(f"p{k}" for k in range(83))
     most = f"{passage} q"
     rows = list(enumerate([passage, *[f"c{k} {passage}" for k in range(14)], most, most + "".join(f" u{k}" for k in range(20))]))
@@ -94,12 +94,41 @@ def test_null_ids_repeated_rows_and_no_rows(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == [1, 3, None, None]
 
 
-def test_bitmap_distance_is_a_lower_bound():
-    import numpy as np
+def thue_morse(flip):
+    bits = [flip ^ (bin(k).count("1") & 1) for k in range(1024)]
+    return "".join("ab"[b] for b in bits)
 
-    rng = np.random.default_rng(0)
-    for _ in range(50):
-        a, b = (np.unique(rng.integers(0, 1 << 63, rng.integers(1, 300), dtype=np.uint64)) for _ in range(2))
-        b = np.unique(np.concatenate([b, a[: len(a) // 2]]))
-        d = nearjoin.bitmap_distance(nearjoin.parity_bitmap(a), nearjoin.parity_bitmap(b))
-        assert d <= len(np.setxor1d(a, b))
+
+def test_words_that_polynomial_hashes_confuse_stay_apart(spark):
+    rows = [(1, thue_morse(0)), (2, thue_morse(1)), (3, "abcdefgh1"), (4, "abcdefgh2"), (5, "abcdefgh12345678x"), (6, "abcdefgh12345678y")]
+    assert found(spark, rows) == {i: (1, i) for i, _ in rows}
+
+
+def test_a_group_around_the_threshold(spark, monkeypatch):
+    """Many copies edited here and there: some pairs link, most do not, and components are exact."""
+    monkeypatch.setattr(nearjoin, "PART", 20)
+    rng = random.Random(5)
+    base = [f"v{rng.randrange(5000)}" for _ in range(150)]
+    rows = []
+    for i in range(120):
+        copy = list(base)
+        for _ in range(rng.randint(0, 6)):
+            copy[rng.randrange(len(copy))] = f"e{rng.randrange(40)}"
+        rows.append((i, " ".join(copy)))
+    assert found(spark, rows) == brute(rows)
+
+
+def test_equal_sets_of_different_texts_and_very_long_texts(spark):
+    rng = random.Random(9)
+    long = [f"l{rng.randrange(90000)}" for _ in range(400_000)]
+    near = list(long)
+    near[1000:1010] = ["other"] * 10
+    rows = [(1, "A b c  d e f"), (2, "a b\nc d e f"), (3, " ".join(long)), (4, " ".join(near)), (5, "q" * 2_000_000), (6, "r" * 2_000_000)]
+    got = found(spark, rows)
+    assert [got[i][1] for i in range(1, 7)] == [1, 1, 3, 3, 5, 6] and got[3][0] == len(shingles(rows[2][1]))
+
+
+def test_clashing_columns_are_kept(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 7, 8), (2, "a b c d e f", 9, 10), (3, "x", 11, 12)], "doc_id long, text string, _taken int, node int")
+    kept = nearjoin.drop_near_duplicates(df.unionAll(df.where("doc_id = 3")))
+    assert sorted(map(tuple, kept.collect())) == [(1, "a b c d e f", 7, 8), (3, "x", 11, 12)]
