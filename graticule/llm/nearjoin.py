@@ -7,7 +7,8 @@ Counts. How many documents have a shingle is counted exactly: sets travel in blo
 the owner of each hash range for the counts of its distinct members and gets them back in order. Nothing is
 broadcast, and a shingle that all documents have is asked for once a block. A member that no other document has is
 in no intersection, so a document can only link if ``need`` of its n members are left, ``need`` being 0.8 n rounded
-up. Documents below that end here; among the rest counts are taken anew, as fewer documents share a member now.
+up. A first count takes the members in the lowest ``LOW`` of the hash space only: where over n - need of these alone
+are in no other document, as in most documents, the document is done. The others are counted with all members.
 
 Filter. Sets are ordered by count, then hash. Two sets of similarity t share at least l members of their prefixes of
 length n - ceil(t n) + l, for any l. Each document takes the l of least estimated cost: what reading the posting
@@ -54,6 +55,8 @@ MOST_SHARED = 6
 SMALL_LIST = 12
 #: Members of a block of sets, and of the hash range that one owner counts.
 BLOCK, RANGE = 1 << 15, 1 << 19
+#: Share of the hash space that the first count takes: more than a fifth, as so many members of its own end a document.
+LOW = 0.3
 #: Rows of a posting list, or of the pairs of one document, that go to one task; more are dealt.
 PART = 1000
 
@@ -76,7 +79,7 @@ def _need(n):
     return (4 * n + 4) // 5
 
 
-#: docs, hs, ns and sizes: of each set the document, the digest of its text, its members, and those that are in ``tokens`` (packed, ordered within a set).
+#: docs, hs, ns and sizes: of each set the document, the digest of its text, all its members, and those that are in ``tokens`` (packed, ordered within a set).
 BLOCK_SCHEMA = "block bigint, docs array<bigint>, hs array<binary>, ns array<bigint>, sizes array<bigint>, tokens binary"
 BLOCK_NAMES = ["block", "docs", "hs", "ns", "sizes", "tokens"]
 
@@ -109,8 +112,36 @@ class _Blocks:
             self.clear()
 
 
+def low_sets(texts: DataFrame) -> DataFrame:
+    """(doc, h, n, tokens) of each row of (doc, text, h): its members in the lowest part of the hash space, packed."""
+    below = U64(int(LOW * 2**64))
+
+    def run(batches):
+        for batch in batches:
+            ns, tokens = [], []
+            for s in _sets(batch.column("text")):
+                ns.append(len(s))
+                tokens.append(s[: np.searchsorted(s, below)].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("h"), pa.array(ns, pa.int64()), pa.array(tokens, pa.binary())], names=["doc", "h", "n", "tokens"])
+
+    return texts.select("doc", "text", "h").mapInArrow(run, "doc bigint, h binary, n bigint, tokens binary")
+
+
+def low_blocks(sets: DataFrame) -> DataFrame:
+    """BLOCK_SCHEMA of the rows of ``low_sets``."""
+
+    def run(batches):
+        blocks = _Blocks()
+        for batch in batches:
+            for doc, h, n, tokens in zip(*[batch.column(c).to_pylist() for c in ("doc", "h", "n")], batch.column("tokens")):
+                yield from blocks.add(doc, h, n, np.frombuffer(tokens.as_buffer(), dtype=U64))
+        yield from blocks.flush()
+
+    return sets.select("doc", "h", "n", "tokens").mapInArrow(run, BLOCK_SCHEMA)
+
+
 def set_blocks(texts: DataFrame) -> DataFrame:
-    """BLOCK_SCHEMA of the sets of (doc, text, h); every row appears, empty sets too."""
+    """BLOCK_SCHEMA of the whole sets of (doc, text, h)."""
 
     def run(batches):
         blocks = _Blocks()
@@ -174,6 +205,7 @@ LIVE_NAMES = ["doc", "n", "u", "k1", "k2", "tokens", "counts"]
 
 def _answered(blocks: DataFrame, replies: DataFrame, schema: str, make) -> DataFrame:
     """What the generators of ``make()`` give for every block and the counts of its members; replies are merged in order of the hash ranges."""
+    needed = BLOCK_NAMES[1:]
 
     def run(batches):
         one, row, parts = make(), None, []
@@ -182,42 +214,46 @@ def _answered(blocks: DataFrame, replies: DataFrame, schema: str, make) -> DataF
             for i, owner in enumerate(owners):
                 if owner < 0:
                     yield from finish(one, row, parts)
-                    row, parts = {c: batch.column(c)[i] for c in ("docs", "ns", "sizes", "tokens")}, []
+                    row, parts = {c: batch.column(c)[i] for c in needed}, []
                 else:
                     parts.append(np.frombuffer(batch.column("counts")[i].as_buffer(), dtype=np.uint32))
         yield from finish(one, row, parts)
         yield from one.last()
 
     def finish(one, row, parts):
-        if not parts:
+        if row is None:
             return
         tokens = np.frombuffer(row["tokens"].as_buffer(), dtype=U64)
         _, place = np.unique(tokens, return_inverse=True)
-        counts = np.concatenate(parts)[place]
+        counts = np.concatenate([np.zeros(0, dtype=np.uint32), *parts])[place]
         cuts = np.cumsum([0, *row["sizes"].as_py()])
-        for doc, n, a, b in zip(row["docs"].as_py(), row["ns"].as_py(), cuts[:-1], cuts[1:]):
+        for doc, h, n, a, b in zip(*[row[c].as_py() for c in ("docs", "hs", "ns")], cuts[:-1], cuts[1:]):
             shared = counts[a:b] > 1
-            if doc is not None and n and int(shared.sum()) >= _need(n):
-                yield from one.take(doc, n, tokens[a:b][shared], counts[a:b][shared])
+            if doc is not None and n and n - int((~shared).sum()) >= _need(n):
+                yield from one.take(doc, h, n, tokens[a:b][shared], counts[a:b][shared])
 
     kinds = {f.name: f.dataType for f in blocks.schema}
-    needed = ["docs", "ns", "sizes", "tokens"]
     asked = blocks.select("block", F.lit(-1).alias("owner"), *needed, F.lit(None).cast("binary").alias("counts"))
     told = replies.select("block", "owner", *[F.lit(None).cast(kinds[c]).alias(c) for c in needed], "counts")
     return asked.unionAll(told).repartition("block").sortWithinPartitions("block", "owner").mapInArrow(run, schema)
 
 
-class _AsBlocks:
-    """Sets that may link, as blocks of the members that others have."""
+class _AsNames:
+    """Sets that may link, as rows of (doc, h)."""
 
     def __init__(self):
-        self.blocks = _Blocks()
+        self.rows = []
 
-    def take(self, doc, n, members, counts):
-        yield from self.blocks.add(doc, None, n, members)
+    def take(self, doc, h, n, members, counts):
+        self.rows.append((doc, h))
+        if len(self.rows) >= 10_000:
+            yield from self.last()
 
     def last(self):
-        yield from self.blocks.flush()
+        if self.rows:
+            docs, hs = zip(*self.rows)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(hs, pa.binary())], names=["doc", "h"])
+            self.rows = []
 
 
 class _AsRows:
@@ -226,7 +262,7 @@ class _AsRows:
     def __init__(self):
         self.rows, self.size = [], 0
 
-    def take(self, doc, n, members, counts):
+    def take(self, doc, h, n, members, counts):
         order = np.lexsort((members, counts))
         self.rows.append((doc, n, n - len(members), *_key(members), members[order].tobytes(), counts[order].tobytes()))
         self.size += len(members)
@@ -476,30 +512,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     hashed = rows.withColumn("h", F.unhex(F.sha2("text", 256)))
-    each = materialize(hashed.select("doc", "h"), "each")
-    classes = materialize(each.groupBy("h").agg(F.min("doc").alias("node"), F.count("*").alias("members")), "classes")
-    known = classes.where("members > 1").select(F.col("h").alias("ch"), "node")
-    copies = each.join(known, (F.col("h") == F.col("ch")) & ~F.col("doc").eqNullSafe(F.col("node"))).select(F.col("doc").alias("cd"), "ch").distinct()
+    low = materialize(low_sets(hashed), "low-sets")
+    each = materialize(low.select("doc", "h", "n"), "each")
+    classes = materialize(each.groupBy("h").agg(F.min("doc").alias("node"), F.min("n").alias("n"), F.count("*").alias("members")), "classes")
+    several = classes.where("members > 1").select(F.col("h").alias("ch"), "node")
+    copies = each.join(several, (F.col("h") == F.col("ch")) & ~F.col("doc").eqNullSafe(F.col("node"))).select(F.col("doc").alias("cd"), "ch").distinct()
     copies = materialize(copies, "copies")
-    first = hashed.join(copies, F.col("doc").eqNullSafe(F.col("cd")) & (F.col("h") == F.col("ch")), "left_anti")
-    blocks = materialize(set_blocks(first), "set-blocks")
-    sizes = materialize(blocks.select(F.explode(F.arrays_zip("hs", "ns")).alias("s")).groupBy(F.col("s.hs").alias("h")).agg(F.min("s.ns").alias("n")), "sizes")
+    blocks = materialize(low_blocks(low.join(copies, F.col("doc").eqNullSafe(F.col("cd")) & (F.col("h") == F.col("ch")), "left_anti")), "low-blocks")
+    drop_table(low)
+    release(spark)
+    some = materialize(may_link(blocks, "doc bigint, h binary", _AsNames), "candidates")
+    drop_table(blocks)
+    release(spark)
+    blocks = materialize(set_blocks(hashed.join(some.distinct(), ["doc", "h"], "left_semi")), "set-blocks")
     release(spark)
-    some = materialize(may_link(blocks, BLOCK_SCHEMA, _AsBlocks), "live-blocks")
+    live = materialize(may_link(blocks, LIVE_SCHEMA, _AsRows), "live")
     drop_table(blocks)
     release(spark)
-    live = materialize(may_link(some, LIVE_SCHEMA, _AsRows), "live")
-    drop_table(some)
     parts = _components(live)
     drop_table(live)
     release(spark)
 
-    known = classes.select("h", "node").join(sizes, "h")
+    known = classes.select("h", "n", "node")
     if parts is not None:
         known = known.join(parts, "node", "left").withColumn("node", F.coalesce("root", "node"))
     known = materialize(known.select("h", "n", "node"), "known")
     component = F.when(F.col("doc").isNull() | (F.col("n") == 0), F.col("doc")).otherwise(F.col("node"))
-    return each.join(known, "h").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return each.select("doc", "h").join(known, "h").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def _components(live: DataFrame) -> DataFrame | None:
