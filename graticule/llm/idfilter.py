@@ -1,48 +1,45 @@
-"""A bitmap of fixed size in front of a join: most rows that cannot meet stay where they are."""
+"""A bitmap of bounded size in front of a join: most rows that cannot meet stay where they are."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .textops import U64, mix
 
-BITS = 1 << 23
+#: Bits for each id, and at most; with more ids than MOST_BITS / EACH there is no filter and the join alone decides.
+EACH, MOST_BITS = 8, 1 << 24
 
 
-def slots(values: np.ndarray) -> np.ndarray:
-    return (mix(values.astype(np.int64).view(U64)) & U64(BITS - 1)).astype(np.int64)
+def _slots(values: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(values.astype(np.int64).view(U64)) & U64(bits - 1)).astype(np.int64)
 
 
-def bitmap_of(ids: DataFrame) -> Broadcast:
-    """Of the one bigint column of ``ids``: BITS bits, whatever the number of ids; bits are or-ed in Spark."""
-
-    def run(batches):
-        for batch in batches:
-            at = slots(batch.column(0).to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([pa.array((at >> 6).astype(np.int32)), pa.array((U64(1) << (at & 63).astype(U64)).view(np.int64))], names=["w", "b"])
-
-    name = ids.columns[0]
-    words = ids.where(F.col(name).isNotNull()).mapInArrow(run, "w int, b bigint").groupBy("w").agg(F.bit_or("b").alias("b"))
-    out = np.zeros(BITS // 64, dtype=np.int64)
-    for row in words.collect():
-        out[row.w] = row.b
-    return ids.sparkSession.sparkContext.broadcast(out)
-
-
-def test(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = slots(values)
+def _test(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = _slots(values, 64 * len(bitmap))
     return (bitmap[at >> 6] >> (at & 63)) & 1 > 0
 
 
-def maybe_in(bitmap: Broadcast, column: Column) -> Column:
-    """False only for values that are not among the ids; false for nulls."""
+def only_near(rows: DataFrame, value: Column, ids: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``value`` (bigint) is not in the one column of ``ids``, a written table.
+
+    The bits are or-ed in Spark and sized by the number of ids; what reaches the driver is at most MOST_BITS.
+    """
+    n = ids.count()
+    if n * EACH > MOST_BITS:
+        return rows
+    bits = max(1 << 12, 1 << (n * EACH).bit_length())
 
-    def run(values: pa.Array) -> pa.Array:
-        return pa.array(test(bitmap.value, values.fill_null(0).to_numpy(zero_copy_only=False)) & ~values.is_null().to_numpy(zero_copy_only=False))
+    def run(batches):
+        for batch in batches:
+            at = _slots(batch.column(0).to_numpy(zero_copy_only=False), bits)
+            yield pa.RecordBatch.from_arrays([pa.array((at >> 6).astype(np.int32)), pa.array((U64(1) << (at & 63).astype(U64)).view(np.int64))], names=["w", "b"])
 
-    return F.arrow_udf(run, T.BooleanType())(column)
+    words = ids.mapInArrow(run, "w int, b bigint").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bitmap = np.zeros(bits // 64, dtype=np.int64)
+    bitmap[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+    return rows.where(F.arrow_udf(lambda v: pa.array(_test(shared.value, v.to_numpy(zero_copy_only=False))), T.BooleanType())(value))

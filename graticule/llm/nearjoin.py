@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from .graph import connected_components
+from .idfilter import only_near
 from .textops import SPACE_WORDS, U64, mix, shingle_set, slices, words
 from .workspace import drop_table, materialize, release, unused
 
@@ -59,6 +60,8 @@ BLOCK, RANGE = 1 << 15, 1 << 19
 LOW = 0.3
 #: Rows of a posting list, or of the pairs of one document, that go to one task; more are dealt.
 PART = 1000
+#: Bits of a bitmap for each member.
+SPREAD = 4
 
 
 def _sets(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -199,8 +202,8 @@ def _counts(requests: DataFrame) -> DataFrame:
 
 
 #: A set that may still link: u members no other document has, and the others' hashes and counts, by count, then hash.
-LIVE_SCHEMA = "doc bigint, n bigint, u bigint, k1 bigint, k2 bigint, tokens binary, counts binary"
-LIVE_NAMES = ["doc", "n", "u", "k1", "k2", "tokens", "counts"]
+LIVE_SCHEMA = "doc bigint, n bigint, u bigint, k1 bigint, k2 bigint, tokens binary, counts binary, bits binary"
+LIVE_NAMES = ["doc", "n", "u", "k1", "k2", "tokens", "counts", "bits"]
 
 
 def _answered(blocks: DataFrame, replies: DataFrame, schema: str, make) -> DataFrame:
@@ -238,6 +241,20 @@ def _answered(blocks: DataFrame, replies: DataFrame, schema: str, make) -> DataF
     return asked.unionAll(told).repartition("block").sortWithinPartitions("block", "owner").mapInArrow(run, schema)
 
 
+def parity_bitmap(members: np.ndarray, n: int) -> bytes:
+    """A bit for each residue of the hashes: whether an odd number of ``members`` has it. At least 64 bits and ``SPREAD`` for each of n, a power of 2."""
+    width = max(64, 1 << (SPREAD * n - 1).bit_length())
+    return np.packbits(np.bincount((members >> U64(20) & U64(width - 1)).astype(np.int64), minlength=width) & 1).tobytes()
+
+
+def fold(bitmaps: np.ndarray, words: int) -> np.ndarray:
+    """Rows of bitmaps as 64-bit words, folded to a smaller power of 2 of ``words``."""
+    while bitmaps.shape[1] > words:
+        half = bitmaps.shape[1] // 2
+        bitmaps = bitmaps[:, :half] ^ bitmaps[:, half:]
+    return bitmaps
+
+
 class _AsNames:
     """Sets that may link, as rows of (doc, h)."""
 
@@ -264,14 +281,14 @@ class _AsRows:
 
     def take(self, doc, h, n, members, counts):
         order = np.lexsort((members, counts))
-        self.rows.append((doc, n, n - len(members), *_key(members), members[order].tobytes(), counts[order].tobytes()))
+        self.rows.append((doc, n, n - len(members), *_key(members), members[order].tobytes(), counts[order].tobytes(), parity_bitmap(members, n)))
         self.size += len(members)
         if self.size > 1 << 17:
             yield from self.last()
 
     def last(self):
         if self.rows:
-            kinds = [pa.int64()] * 5 + [pa.binary()] * 2
+            kinds = [pa.int64()] * 5 + [pa.binary()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*self.rows), kinds)], names=LIVE_NAMES)
             self.rows, self.size = [], 0
 
@@ -479,7 +496,7 @@ def _link(pairs: DataFrame, parts: DataFrame | None, live: DataFrame) -> DataFra
     return parts
 
 
-def _long_lists(lists: DataFrame, tokens: DataFrame, parts: DataFrame | None, short: DataFrame) -> DataFrame:
+def _long_lists(lists: DataFrame, tokens: DataFrame, parts: DataFrame | None, short: DataFrame, live: DataFrame) -> DataFrame:
     """(x, y, k) of documents of different components that share enough tokens, one in a long list at least. lists: the written postings.
 
     short: (x, y, k, l) of the pairs with k common tokens in short lists, fewer than the l they need; the count in
@@ -487,7 +504,8 @@ def _long_lists(lists: DataFrame, tokens: DataFrame, parts: DataFrame | None, sh
 
     ``slack`` is n - 9 u: two documents can only link if theirs add up to 0 or more. Of a list only the documents go
     on that could link with the greatest slack outside their own component; so end edited copies that are too far
-    from all others. Of those the members outside the largest component meet all others.
+    from all others. Of those the members outside the largest component meet all others in ``meet``. What two sets share
+    beyond their prefixes is at most need - l of one of them, so the k seen must make up the rest of what a link takes.
     """
     rows = lists.join(tokens, "token").select("token", "doc", "n", "l", "level", (F.col("n") - 9 * F.col("u")).alias("slack"))
     comp = F.col("doc")
@@ -501,10 +519,77 @@ def _long_lists(lists: DataFrame, tokens: DataFrame, parts: DataFrame | None, sh
         second = shares.join(two.select("token", F.col("m.c").alias("mc")), "token").where("c <> mc").groupBy("token").agg(F.max("slack").alias("next"))
         bounds = two.select("token", F.col("m.slack").alias("most"), F.col("m.c").alias("most_c"), F.col("w.c").alias("major")).join(second, "token")
         rows = materialize(rows.drop("major").join(bounds, "token").where("slack + if(c = most_c, next, most) >= 0").drop("most", "most_c", "next"), "long-lists")
-    few = rows.where("c <> major").select("token", F.col("doc").alias("xd"), F.col("n").alias("xn"), F.col("l").alias("xl"), F.col("level").alias("xv"), F.col("c").alias("xc"), F.col("slack").alias("xs"))
-    met = few.join(rows, "token").where("xc <> c and (c = major or xd < doc) and 5 * least(xn, n) >= 4 * greatest(xn, n) and xs + slack >= 0 and greatest(xv, level) <= least(xl, l)")
-    counts = met.select(F.least("xd", "doc").alias("x"), F.greatest("xd", "doc").alias("y"), F.lit(1).cast("bigint").alias("k"), F.least("xl", "l").alias("l"))
-    return counts.unionAll(short).groupBy("x", "y").agg(F.sum("k").alias("k"), F.min("l").alias("l")).where("k >= l").select("x", "y", "k")
+    met = meet(rows, live).groupBy("x", "y").agg(F.sum("k").alias("k"), F.max("nx").alias("nx"), F.max("ny").alias("ny"), F.min("l").alias("l"))
+    met = met.join(short.select("x", "y", F.col("k").alias("ks")), ["x", "y"], "left").withColumn("k", F.col("k") + F.coalesce("ks", F.lit(0)))
+    beyond = "greatest((4 * nx + 4) div 5, (4 * ny + 4) div 5) - l"  # common members that are not in both prefixes
+    return met.where(f"9 * (k + {beyond}) >= 4 * (nx + ny)").select("x", "y", "k")
+
+
+def meet(rows: DataFrame, live: DataFrame) -> DataFrame:
+    """(x, y, k, nx, ny, l) of members x outside the largest component of a list (token, major) and others whose bitmaps allow a link.
+
+    A part of the members outside is held, the list streams past: no more than ``PART`` against ``16 * PART`` in a task,
+    whatever the length of the list, and only pairs near a link leave it.
+    """
+    sizes = rows.groupBy("token").agg(F.count("*").alias("all"), F.count_if(F.expr("c <> major")).alias("outside"))
+    deals = sizes.select("token", F.expr(f"outside div {PART} + 1").alias("own"), F.expr(f"all div {16 * PART} + 1").alias("other"))
+    full = rows.join(deals, "token").join(live.select("doc", "n", "bits").distinct(), ["doc", "n"])
+    dealt = lambda by: F.pmod(F.xxhash64("doc"), F.col(by))
+    cast = ["token", "doc", "n", "l", "level", "slack", "c", "major", "bits"]
+    every = lambda by: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(by) - 1))
+    held = full.where("c <> major").select(*cast, dealt("own").alias("p"), every("other").alias("q"), F.lit(0).alias("role"))
+    passing = full.select(*cast, every("own").alias("p"), dealt("other").alias("q"), F.lit(1).alias("role"))
+    return _meet_sorted(held.unionAll(passing).repartition("token", "p", "q").sortWithinPartitions("token", "p", "q", "role"))
+
+
+def _meet_sorted(dealt: DataFrame) -> DataFrame:
+    numbers = ["doc", "n", "l", "level", "slack", "c", "major"]
+
+    def run(batches):
+        at, held = None, {}
+        for batch in batches:
+            now = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("token", "p", "q", "role", *numbers)}
+            bits = [np.frombuffer(b.as_buffer(), dtype=np.uint8) for b in batch.column("bits")]
+            found = []
+            for i, role in enumerate(now["role"].tolist()):
+                if (where := (now["token"][i], now["p"][i], now["q"][i])) != at:
+                    at, held = where, {}
+                row = [int(now[k][i]) for k in numbers]
+                if not role:
+                    rows = held.setdefault(len(bits[i]) // 8, [])
+                    if isinstance(rows, tuple):
+                        raise ValueError("rows are not in order")
+                    rows.append((row, bits[i].copy()))
+                else:
+                    found += against(held, row, bits[i])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in np.concatenate(found).T], names=["x", "y", "k", "nx", "ny", "l"])
+
+    def against(held, row, bits):
+        doc, n, l, level, slack, c, major = row
+        words = len(bits) // 8
+        for width in (words // 2, words, words * 2):
+            if width not in held:
+                continue
+            if not isinstance(held[width], tuple):
+                rows, maps = zip(*held[width])
+                held[width] = (np.array(rows, dtype=np.int64).T, np.stack(maps).view(np.uint64))
+            (xd, xn, xl, xv, xs, xc, _), maps = held[width]
+            near = (xc != c) & (5 * np.minimum(xn, n) >= 4 * np.maximum(xn, n)) & (xs + slack >= 0) & (np.maximum(xv, level) <= np.minimum(xl, l))
+            if c != major:
+                near &= xd < doc
+            near = np.flatnonzero(near)
+            if not len(near):
+                continue
+            least = min(width, words)
+            apart = np.bitwise_count(fold(maps[near], least) ^ fold(bits.view(np.uint64)[None], least)).sum(axis=1, dtype=np.int64)
+            near = near[9 * apart <= xs[near] + slack]
+            if len(near):
+                y, ny = np.full(len(near), doc), np.full(len(near), n)
+                first = xd[near] < doc
+                yield np.column_stack([np.where(first, xd[near], y), np.where(first, y, xd[near]), np.ones(len(near), dtype=np.int64), np.where(first, xn[near], ny), np.where(first, ny, xn[near]), np.minimum(xl[near], l)])
+
+    return dealt.mapInArrow(run, "x bigint, y bigint, k bigint, nx bigint, ny bigint, l bigint")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -524,7 +609,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     some = materialize(may_link(blocks, "doc bigint, h binary", _AsNames), "candidates")
     drop_table(blocks)
     release(spark)
-    blocks = materialize(set_blocks(hashed.join(some.distinct(), ["doc", "h"], "left_semi")), "set-blocks")
+    near = only_near(hashed, F.xxhash64("doc", "h"), some.select(F.xxhash64("doc", "h").alias("id")))
+    blocks = materialize(set_blocks(near.join(some.distinct(), ["doc", "h"], "left_semi")), "set-blocks")
     release(spark)
     live = materialize(may_link(blocks, LIVE_SCHEMA, _AsRows), "live")
     drop_table(blocks)
@@ -557,7 +643,7 @@ def _components(live: DataFrame) -> DataFrame | None:
     parts = _link(pairs, parts, live)
     tokens = materialize(found.where("kind = 2").select(F.col("x").alias("token")).distinct(), "tokens")
     if not tokens.isEmpty():
-        parts = _link(_long_lists(lists, tokens, parts, few.where("k < l")), parts, live)
+        parts = _link(_long_lists(lists, tokens, parts, few.where("k < l"), live), parts, live)
     drop_table(found)
     drop_table(lists)
     return parts
