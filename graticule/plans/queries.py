@@ -16,6 +16,7 @@ from ..functions import geometry as G
 from ..operators import encode, evaluate, learn, match, transform
 from ..operators.deep import DeepClassifier, TrainingConfig
 from ..schemas import Split, split_table
+from ..session import shared_dir
 from ..sources import idx as idx_source
 from ..sources import vectors
 from .sql import ORACLES
@@ -168,10 +169,10 @@ def features_batch(spark, sf_dir):
 
 
 def _channel_scores(spark, sf_dir) -> DataFrame:
-    """Test rows against banks of the first 16 training rows of a class, dealt over four experts in turn."""
+    """Test rows against full banks: the first 4 x 64 training rows of a class, dealt over four experts in turn."""
     found = _features_fast(spark, sf_dir)
     order = learn.W.Window.partitionBy("label", "channel").orderBy("idx")
-    kept = _train(found).withColumn("k", F.row_number().over(order) - 1).where("k < 16")
+    kept = _train(found).withColumn("k", F.row_number().over(order) - 1).where(F.col("k") < learn.EXPERTS * learn.BANK)
     stored = kept.select(F.col("label"), F.expr("cast(k % 4 as int)").alias("expert"), "channel", "lo", "hi", F.lit(1.0).cast("float").alias("weight"))
     return match.channel_scores(_test(found).drop("label"), stored)
 
@@ -225,21 +226,44 @@ def sweep(spark, sf_dir):
 
 
 def idx_scan(spark, sf_dir):
-    """The first 200 images written as an IDX pair, read back by the source, and summed up."""
-    rows = samples(spark, sf_dir).where("idx < 200").select("idx", "pixels", "label").orderBy("idx").collect()
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/graticule").removeprefix("file://")
-    stem = f"{folder}/idx-{uuid.uuid4().hex}"
-    idx_source.write_idx(f"{stem}-images", f"{stem}-labels", [r.pixels for r in rows], [r.label for r in rows], 8, 8)
+    """All images written as an IDX pair in the shared folder, read back by the source, and summed up."""
+    every = samples(spark, sf_dir).select("idx", "pixels", "label")
+    stem = f"{shared_dir(spark)}/idx-{uuid.uuid4().hex}"
+    records = ((r.pixels, r.label) for r in every.orderBy("idx").toLocalIterator())
+    idx_source.write_idx(f"{stem}-images", f"{stem}-labels", records, every.count(), 8, 8)
     found = idx_source.load_idx(spark, f"{stem}-images", f"{stem}-labels")
     moment = F.aggregate(F.transform("pixels", lambda p, i: (p * i).cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)
     return found.select("idx", "label", encode.total(F.col("pixels")).alias("total"), moment.alias("moment"))
 
 
+def rate_encode(spark, sf_dir):
+    """Spikes of each image in each of eight time steps: a pixel of share x of full brightness fires x * 8 times, evenly spread."""
+    step = F.explode(F.sequence(F.lit(1), F.lit(8)))
+    per = samples(spark, sf_dir).select("idx", "pixels", step.alias("step"))
+    spikes = F.aggregate("pixels", F.lit(0).cast("bigint"), lambda a, p: a + F.floor(p * F.col("step") / 255) - F.floor(p * (F.col("step") - 1) / 255))
+    return per.select("idx", "step", spikes.alias("spikes"))
+
+
 def online_baseline(spark, sf_dir):
     """The online baseline learner: PROTOTYPES after one epoch of the training rows."""
     return learn.train_baseline(_train(samples(spark, sf_dir)), 8, 8, TEN, MULTIPLIER)
 
 
+def _online_predictions(spark, sf_dir) -> DataFrame:
+    every = samples(spark, sf_dir)
+    protos = learn.train_baseline(_train(every), 8, 8, TEN, MULTIPLIER)
+    return learn.predict_baseline(_test(every), protos, 8, 8, TEN, MULTIPLIER)
+
+
+def online_confusion(spark, sf_dir):
+    """Confusion of the test rows by the trained memories."""
+    return evaluate.confusion(_online_predictions(spark, sf_dir))
+
+
+def online_evaluation(spark, sf_dir):
+    return evaluate.evaluation(_online_predictions(spark, sf_dir)).withColumn("accuracy", F.round("accuracy", 6))
+
+
 def online_structured(spark, sf_dir):
     """The structured learner on training rows, then idx, actual, predicted, expert of the test rows."""
     every = large(spark, sf_dir)
@@ -258,7 +282,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         confusion, top_class, class_scores, evaluation, evaluation_by_class, full_confusion, accuracy_gate, encode_images, encode_images_batch, prototypes, image_mean, cell_sums,
         ink_box, centered_pixels, augmented, detector_bank, tiles, patches, features, features_batch, channel_scores, expert_scores, top_expert, top_class_and_expert,
-        splits, label_index, first_rows, hard_negative_rows, label_confusion, sweep, idx_scan, online_baseline, online_structured, deep_epochs,
+        splits, label_index, first_rows, hard_negative_rows, label_confusion, sweep, idx_scan, rate_encode, online_baseline, online_confusion, online_evaluation, online_structured, deep_epochs,
     )
     return {f.__name__: f for f in found}
 

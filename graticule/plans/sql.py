@@ -128,7 +128,7 @@ stored AS (
   SELECT label, slot % 4 AS expert, channel, lo, hi FROM (
     SELECT f.label, f.channel, f.lo, f.hi, k.slot FROM feats f JOIN (
       SELECT idx, row_number() OVER (PARTITION BY label ORDER BY idx) - 1 AS slot FROM (SELECT DISTINCT idx, label FROM cen) WHERE idx % 5 <> 0
-    ) k ON k.idx = f.idx WHERE k.slot < 16
+    ) k ON k.idx = f.idx WHERE k.slot < 256
   )
 ),
 by_channel AS (
@@ -180,7 +180,8 @@ ORACLES: dict[str, str] = {
     "first_rows": f"SELECT vec_id AS idx, {I('label', 'label')} FROM embeddings WHERE vec_id < 100",
     "hard_negative_rows": f"SELECT vec_id AS idx, {I('label', 'label')} FROM embeddings WHERE vec_id % 16 = 0",
     "label_confusion": "SELECT a.k AS actual, b.k AS predicted, count(l.doc_id) AS n FROM (SELECT CAST(unnest(range(2)) AS INTEGER) AS k) a CROSS JOIN (SELECT CAST(unnest(range(2)) AS INTEGER) AS k) b LEFT JOIN labels l ON l.quality = a.k AND l.toxic = b.k GROUP BY ALL",
-    "idx_scan": "WITH " + PIXELS + f" SELECT idx, {I('label', 'label')}, CAST(sum(v) AS BIGINT) AS total, CAST(sum(v * (r * 8 + c)) AS BIGINT) AS moment FROM pix WHERE idx < 200 GROUP BY idx, label",
+    "idx_scan": "WITH " + PIXELS + f" SELECT idx, {I('label', 'label')}, CAST(sum(v) AS BIGINT) AS total, CAST(sum(v * (r * 8 + c)) AS BIGINT) AS moment FROM pix GROUP BY idx, label",
+    "rate_encode": "WITH " + PIXELS + f", steps AS (SELECT CAST(unnest(range(1, 9)) AS INTEGER) AS step) SELECT idx, step, CAST(sum(v * step // 255 - v * (step - 1) // 255) AS BIGINT) AS spikes FROM pix, steps GROUP BY idx, step",
     "sweep": " UNION ALL ".join(
         "SELECT * FROM (WITH " + PIXELS + "," + events(f"CAST(CAST({m} AS FLOAT) AS DOUBLE)") + MEMORY.replace("slot < 256", f"slot < {cap}")
         + f", scored AS (SELECT a.idx, a.label AS actual, p.label, max({IOU}) AS score FROM ev a, protos p WHERE a.idx % 5 = 0 GROUP BY ALL), best AS (SELECT actual, label AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY score DESC, label) AS k FROM scored) WHERE k = 1) SELECT '{m}' AS multiplier, {cap} AS capacity, CAST(sum(CASE WHEN actual = predicted THEN 1 ELSE 0 END) AS BIGINT) AS correct, count(*) AS total FROM best)"

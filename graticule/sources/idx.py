@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import os
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -137,13 +137,28 @@ def load_digits(spark: SparkSession, folder: str, training: bool, limit: int = 0
     return load_idx(spark, f"{stem}-images-idx3-ubyte", f"{stem}-labels-idx1-ubyte", limit)
 
 
-def write_idx(images: str, labels: str, pixels: list[list[int]], marks: list[int], rows: int, columns: int) -> None:
-    """A pair of local files, for tests and exports of bounded size."""
-    for path in (images, labels):
-        os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    with open(images, "wb") as f:
-        f.write(struct.pack(">4I", IMAGES, len(pixels), rows, columns))
-        for image in pixels:
-            f.write(bytes(image))
-    with open(labels, "wb") as f:
-        f.write(struct.pack(">2I", LABELS, len(marks)) + bytes(marks))
+def _create(path: str):
+    if "://" in path and not path.startswith("file://"):
+        from pyarrow import fs
+
+        system, inner = fs.FileSystem.from_uri(path)
+        return system.open_output_stream(inner)
+    path = path.removeprefix("file://")
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    return open(path, "wb")
+
+
+def write_idx(images: str, labels: str, records: Iterable[tuple[Sequence[int], int]], count: int, rows: int, columns: int) -> None:
+    """A pair of files of ``count`` (pixels, label) records, written as they come: none but the current one is held."""
+    written = 0
+    with _create(images) as pixels, _create(labels) as marks:
+        pixels.write(struct.pack(">4I", IMAGES, count, rows, columns))
+        marks.write(struct.pack(">2I", LABELS, count))
+        for image, mark in records:
+            if len(image) != rows * columns:
+                raise ValueError(f"record {written} has {len(image)} pixels, not {rows * columns}")
+            pixels.write(bytes(image))
+            marks.write(bytes([mark]))
+            written += 1
+    if written != count:
+        raise ValueError(f"{written} records, where the headers say {count}")

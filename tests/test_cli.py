@@ -35,9 +35,9 @@ def test_help(capsys):
 def strokes(folder):
     images, labels = [TOP_LEFT.tolist(), BOTTOM_RIGHT.tolist()] * 8, [1, 5] * 8
     for part in ("train", "t10k"):
-        write_idx(f"{folder}/{part}-images-idx3-ubyte", f"{folder}/{part}-labels-idx1-ubyte", images, labels, 28, 28)
+        write_idx(f"{folder}/{part}-images-idx3-ubyte", f"{folder}/{part}-labels-idx1-ubyte", zip(images, labels), len(images), 28, 28)
     for part in ("train", "test"):
-        write_idx(f"{folder}/emnist-digits-{part}-images-idx3-ubyte", f"{folder}/emnist-digits-{part}-labels-idx1-ubyte", images, labels, 28, 28)
+        write_idx(f"{folder}/emnist-digits-{part}-images-idx3-ubyte", f"{folder}/emnist-digits-{part}-labels-idx1-ubyte", zip(images, labels), len(images), 28, 28)
 
 
 def test_programs(spark, tmp_path, capsys):
@@ -55,6 +55,6 @@ def test_programs(spark, tmp_path, capsys):
 
 def test_gate_fails(spark, tmp_path):
     strokes(tmp_path)
-    write_idx(f"{tmp_path}/t10k-images-idx3-ubyte", f"{tmp_path}/t10k-labels-idx1-ubyte", [TOP_LEFT.tolist()], [5], 28, 28)
+    write_idx(f"{tmp_path}/t10k-images-idx3-ubyte", f"{tmp_path}/t10k-labels-idx1-ubyte", [(TOP_LEFT.tolist(), 5)], 1, 28, 28)
     assert cli.main(["digits", "--data-dir", str(tmp_path), "--minimum-accuracy", "0.5"], spark) == 1
     assert cli.main(["digits", "--data-dir", str(tmp_path / "none")], spark) == 1

@@ -8,7 +8,7 @@ from graticule.sources.idx import IMAGES, LABELS, load_idx, load_split, write_id
 
 def pair(tmp_path, pixels, labels, rows=2, columns=2, stem="x"):
     names = str(tmp_path / f"{stem}-images"), str(tmp_path / f"{stem}-labels")
-    write_idx(*names, pixels, labels, rows, columns)
+    write_idx(*names, zip(pixels, labels), len(pixels), rows, columns)
     return names
 
 
@@ -59,7 +59,7 @@ def test_split_labels(spark, tmp_path):
     for label, ok in ((1, True), (26, True), (0, False), (27, False)):
         stem = tmp_path / f"d{label}"
         stem.mkdir()
-        write_idx(str(stem / "emnist-letters-train-images-idx3-ubyte"), str(stem / "emnist-letters-train-labels-idx1-ubyte"), [[1, 2, 3, 4]], [label], 2, 2)
+        write_idx(str(stem / "emnist-letters-train-images-idx3-ubyte"), str(stem / "emnist-letters-train-labels-idx1-ubyte"), [([1, 2, 3, 4], label)], 1, 2, 2)
         if ok:
             assert load_split(spark, str(stem), "letters", True).first().label == label
         else:
@@ -71,3 +71,11 @@ def test_split_catalogue():
     assert find_split("balanced").classes == 47
     with pytest.raises(ValueError):
         find_split("not-a-split")
+
+
+def test_records_must_be_as_the_headers_say(tmp_path):
+    names = str(tmp_path / "a"), str(tmp_path / "b")
+    with pytest.raises(ValueError, match="pixels"):
+        write_idx(*names, [([1, 2, 3], 0)], 1, 2, 2)
+    with pytest.raises(ValueError, match="headers"):
+        write_idx(*names, [([1, 2, 3, 4], 0)], 2, 2, 2)

@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graticule.operators import evaluate, learn, match
+from graticule.operators.transform import augmentation
 from graticule.operators.deep import DeepClassifier, TrainingConfig, neuron_count, parameter_count
 from graticule.schemas import Split, find_split
 from graticule.sources.vectors import memory_samples
@@ -107,3 +109,97 @@ def test_reports(spark, tmp_path):
     runs = spark.createDataFrame([("digits", 10, 1000, 5, 1234.5, 0.5, 4, 80.0)], "split string, classes int, train_samples long, test_samples long, train_seconds double, test_seconds double, correct long, accuracy_percent double")
     evaluate.write_report(runs, str(tmp_path / "r"))
     assert spark.read.csv(str(tmp_path / "r"), header=True).first().train_seconds == "1234.500"
+
+
+def payload(lo, hi):
+    return frozenset([k for k in range(48) if lo >> k & 1] + [48 + k for k in range(48) if hi >> k & 1])
+
+
+class PlainMemory:
+    """The stated rules on sets and lists, one step at a time."""
+
+    def __init__(self, capacity, novelty=0.78, rate=0.35):
+        self.capacity, self.novelty, self.rate, self.kept = capacity, novelty, rate, []
+
+    def like(self, event):
+        return [len(event & e) / max(1, len(event | e)) for e, _ in self.kept]
+
+    def score(self, event):
+        return max((s * w for s, (_, w) in zip(self.like(event), self.kept)), default=0.0)
+
+    def reinforce(self, event, reward):
+        like = self.like(event)
+        if not like or max(like) < self.novelty:
+            if reward > 0:
+                self.kept = (self.kept + [[event, 1.0]])[-self.capacity :]
+            return
+        best = like.index(max(like))
+        self.kept[best][1] = min(1.0, max(0.0, self.kept[best][1] + self.rate * reward))
+
+    def remember(self, event):
+        if len(self.kept) < self.capacity:
+            self.kept.append([event, 1.0])
+
+
+def drawn(n, seed=3):
+    rng = np.random.default_rng(seed)
+    shapes = rng.integers(0, 256, (6, 8, 8))
+    shapes[shapes < 150] = 0
+    images = [np.where(rng.random((8, 8)) < 0.15, rng.integers(0, 256, (8, 8)), shapes[i % 6]).ravel().tolist() for i in range(n)]
+    return images, [int(x) for x in rng.integers(0, 3, n)]
+
+
+@pytest.mark.parametrize("capacity, epochs", [(256, 1), (5, 2)])
+def test_baseline_equals_a_plain_fold(spark, capacity, epochs):
+    from graticule.operators.encode import encode_images_batch
+
+    images, labels = drawn(90)
+    df = memory_samples(spark, images, labels, 8, 8)
+    memories = {}
+    for _ in range(epochs):
+        for r in encode_images_batch(df, 8, 8, 1.3).orderBy("idx").select("label", "event.lo", "event.hi").collect():
+            memories.setdefault(r.label, PlainMemory(capacity)).reinforce(payload(r.lo, r.hi), 1.0)
+    got = {}
+    for r in learn.train_baseline(df, 8, 8, DIGITS, epochs=epochs, capacity=capacity).orderBy("label", "slot").collect():
+        got.setdefault(r.label, []).append((payload(r.lo, r.hi), round(r.weight, 5)))
+    assert got == {label: [(e, round(w, 5)) for e, w in m.kept] for label, m in memories.items()}
+
+
+def test_structured_equals_a_plain_fold(spark, monkeypatch):
+    """Banks of three fill up, so every branch of the choice of an expert is met."""
+    from graticule.operators.encode import encode_features_batch
+    from graticule.sources.vectors import enlarge
+
+    monkeypatch.setattr(learn, "BANK", 3)
+    split = Split("three", 3)
+    images, labels = drawn(80, 8)
+    df = enlarge(memory_samples(spark, images, labels, 8, 8), 8, 8)
+    learner = learn.StructuredLearner(split).train(df)
+    banks = [[[PlainMemory(3) for _ in range(5)] for _ in range(4)] for _ in range(3)]
+    taken = [[0] * 4 for _ in range(3)]
+
+    def score(label, expert, event):
+        total = np.float32(0)
+        for c, weight in enumerate((1, 1, 1, 1, 0.5)):
+            total = np.float32(total + np.float32(weight) * np.float32(banks[label][expert][c].score(event[c])))
+        return np.float32(total / np.float32(4.5))
+
+    for r in encode_features_batch(df, *augmentation(F.col("idx"), 0)).orderBy("idx").select("idx", "label", "features").collect():
+        event = [payload(e.lo, e.hi) for e in r.features]
+        idle = [e for e in range(4) if not taken[r.label][e]]
+        room = [e for e in range(4) if len(banks[r.label][e][0].kept) < 3] or [0, 1, 2, 3]
+        expert = idle[0] if idle else sorted(room, key=lambda e: (-score(r.label, e, event), e))[0]
+        for c in range(5):
+            banks[r.label][expert][c].remember(event[c])
+        taken[r.label][expert] += 1
+        if r.idx % 16 == 0:
+            best = sorted(((x, e) for x in range(3) for e in range(4)), key=lambda p: (-score(*p, event), *p))[0]
+            if best[0] != r.label:
+                for c in range(5):
+                    banks[best[0]][best[1]][c].reinforce(event[c], -0.5)
+    assert learner.assigned.tolist() == taken
+    got = {}
+    for r in learner.prototypes(spark).collect():
+        got.setdefault((r.label, r.expert, r.channel), {})[r.slot] = (payload(r.lo, r.hi), round(r.weight, 5))
+    want = {(x, e, c): {k: (ev, round(w, 5)) for k, (ev, w) in enumerate(banks[x][e][c].kept)} for x in range(3) for e in range(4) for c in range(5) if banks[x][e][c].kept}
+    assert got == want
