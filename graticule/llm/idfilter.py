@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,19 +21,29 @@ def _slots(values: np.ndarray, bits: int) -> np.ndarray:
     return (mix(values.astype(np.int64).view(U64)) & U64(bits - 1)).astype(np.int64)
 
 
-def _test(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = _slots(values, 64 * len(bitmap))
-    return (bitmap[at >> 6] >> (at & 63)) & 1 > 0
+@dataclass
+class Near:
+    """A test that is false only for values that are not among the ids: of bigint columns, and of arrays on executors."""
+
+    bitmap: Broadcast
+
+    def test(self, values: np.ndarray) -> np.ndarray:
+        bitmap = self.bitmap.value
+        at = _slots(values, 64 * len(bitmap))
+        return (bitmap[at >> 6] >> (at & 63)) & 1 > 0
+
+    def __call__(self, value: Column) -> Column:
+        return F.arrow_udf(lambda v: pa.array(self.test(v.to_numpy(zero_copy_only=False))), T.BooleanType())(value)
 
 
-def only_near(rows: DataFrame, value: Column, ids: DataFrame) -> DataFrame:
-    """``rows`` without most of those whose ``value`` (bigint) is not in the one column of ``ids``, a written table.
+def maybe_in(ids: DataFrame) -> Near | None:
+    """Of the one column (bigint, no nulls) of ``ids``, a written table; None where there are too many ids.
 
     The bits are or-ed in Spark and sized by the number of ids; what reaches the driver is at most MOST_BITS.
     """
     n = ids.count()
     if n * EACH > MOST_BITS:
-        return rows
+        return None
     bits = max(1 << 12, 1 << (n * EACH).bit_length())
 
     def run(batches):
@@ -41,5 +54,4 @@ def only_near(rows: DataFrame, value: Column, ids: DataFrame) -> DataFrame:
     words = ids.mapInArrow(run, "w int, b bigint").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     bitmap = np.zeros(bits // 64, dtype=np.int64)
     bitmap[words.column("w").to_numpy()] = words.column("b").to_numpy()
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
-    return rows.where(F.arrow_udf(lambda v: pa.array(_test(shared.value, v.to_numpy(zero_copy_only=False))), T.BooleanType())(value))
+    return Near(ids.sparkSession.sparkContext.broadcast(bitmap))

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from .graph import connected_components
-from .idfilter import only_near
+from .idfilter import maybe_in
 from .textops import SPACE_WORDS, U64, mix, shingle_set, slices, words
 from .workspace import drop_table, materialize, release, unused
 
@@ -603,13 +603,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     several = classes.where("members > 1").select(F.col("h").alias("ch"), "node")
     copies = each.join(several, (F.col("h") == F.col("ch")) & ~F.col("doc").eqNullSafe(F.col("node"))).select(F.col("doc").alias("cd"), "ch").distinct()
     copies = materialize(copies, "copies")
-    blocks = materialize(low_blocks(low.join(copies, F.col("doc").eqNullSafe(F.col("cd")) & (F.col("h") == F.col("ch")), "left_anti")), "low-blocks")
+    row_id = F.xxhash64("doc", "h")
+    copied = maybe_in(copies.select(F.xxhash64("cd", "ch").alias("id")))
+    checked = (low.where(copied(row_id)) if copied else low).join(copies, F.col("doc").eqNullSafe(F.col("cd")) & (F.col("h") == F.col("ch")), "left_anti")
+    blocks = materialize(low_blocks(low.where(~copied(row_id)).unionAll(checked) if copied else checked), "low-blocks")
     drop_table(low)
     release(spark)
     some = materialize(may_link(blocks, "doc bigint, h binary", _AsNames), "candidates")
     drop_table(blocks)
     release(spark)
-    near = only_near(hashed, F.xxhash64("doc", "h"), some.select(F.xxhash64("doc", "h").alias("id")))
+    wanted = maybe_in(some.select(row_id.alias("id")))
+    near = hashed.where(wanted(row_id)) if wanted else hashed
     blocks = materialize(set_blocks(near.join(some.distinct(), ["doc", "h"], "left_semi")), "set-blocks")
     release(spark)
     live = materialize(may_link(blocks, LIVE_SCHEMA, _AsRows), "live")
