@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from graticule.llm import decontaminate, pii, secrets, urlfilter
+from graticule.llm import decontaminate, idfilter, pii, secrets, urlfilter
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 EDGE = [None, "", " ", "\x00", "é" * 40, "x" * 20000]
@@ -199,8 +199,10 @@ def contamination(docs, items):
     return out
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 60])
-def test_decontamination(spark, block):
+@pytest.mark.parametrize("bits", [idfilter.MOST_BITS, 0])
+def test_decontamination(spark, monkeypatch, bits):
+    """With a bitmap before the join and without."""
+    monkeypatch.setattr(idfilter, "MOST_BITS", bits)
     rng = random.Random(8)
     word = lambda: rng.choice(["aa", "b", "c1", "é", "the"])
     items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([1, 3, 12, 13, 14, 20, 40, 13])] + [(8, None), (9, "!!"), (None, "q r s t"), (3, "q1 q2"), (10, "b " * 30)]
@@ -214,10 +216,27 @@ def test_decontamination(spark, block):
         docs.append((100 + i, ". ".join(parts)))
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as items", "2 as hits")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    marked = decontaminate.contamination(df, bench, block_bytes=block).selectExpr("doc_id", "_hits.n_words", "_hits.n_hit", "_hits.n_items", "_hits.items_sha256")
+    marked = decontaminate.contamination(df, bench).selectExpr("doc_id", "_hits.n_words", "_hits.n_hit", "_hits.n_items", "_hits.items_sha256")
     want = contamination(docs, items)
     assert {r[0]: tuple(r[1:]) for r in marked.collect()} == {k: v[:4] for k, v in want.items()}
-    kept = decontaminate.decontaminate(df, bench, block_bytes=block)
+    kept = decontaminate.decontaminate(df, bench)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {k for k, v in want.items() if not v[4]}
     assert decontaminate.contamination(df.limit(0), bench).count() == 0
-    assert {r._hits.n_hit for r in decontaminate.contamination(df, bench.limit(0)).collect()} == {0}
+    assert {r['_hits'].n_hit for r in decontaminate.contamination(df, bench.limit(0)).collect()} == {0}
+
+
+def test_words_that_polynomial_hashes_confuse_are_no_hits(spark):
+    a, b = ("".join("ab"[flip ^ (bin(k).count("1") & 1)] for k in range(1024)) for flip in (0, 1))
+    docs = spark.createDataFrame([(1, a), (2, b), (3, f"x {b} y")], "doc_id long, text string")
+    rows = decontaminate.contamination(docs, spark.createDataFrame([(7, a)], "item_id long, text string")).selectExpr("doc_id", "_hits.n_hit").collect()
+    assert {r.doc_id: r.n_hit for r in rows} == {1: 1, 2: 0, 3: 0}
+
+
+def test_decontamination_of_a_very_long_text_and_clashing_columns(spark):
+    passage = " ".join(f"p{k}" for k in range(20))
+    long = "w " * 400_000 + passage + " v" * 400_000
+    df = spark.createDataFrame([(1, long, 5, 6), (2, passage, 7, 8)], "doc_id long, text string, _h int, h int")
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    rows = {r.doc_id: (r._h, r.h, r["_hits"].n_words, r["_hits"].n_hit) for r in decontaminate.contamination(df, bench).collect()}
+    assert rows == {1: (5, 6, 800_020, 20), 2: (7, 8, 20, 20)}
+    assert [tuple(r) for r in decontaminate.decontaminate(df, bench).select("doc_id", "_h", "h").collect()] == [(1, 5, 6)]
