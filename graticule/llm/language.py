@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from .sampling import held_out
+from .sampling import fitting_texts, held_out
 from .textops import BYTE_KEYS, LOWER, PLACES, U64, mix, slices
 
 BUCKETS = 1 << 16
@@ -147,9 +147,8 @@ def _sparse(texts: pa.Array):
     return np.cumsum(sizes), np.concatenate(buckets or [np.zeros(0, dtype=np.int64)]), np.concatenate(weights or [np.zeros(0, dtype=np.float32)])
 
 
-def language_sample(docs: DataFrame, per_lang: int, parts: int = 4, part: int = 2, max_chars: int = 2000) -> list[tuple[str, str]]:
-    """Up to ``per_lang`` texts of each language, outside the held-out fold, by the order of a hash of the id."""
-    spark = docs.sparkSession
+def language_sample(docs: DataFrame, per_lang: int, parts: int = 4, part: int = 2, most_bytes: int = 8 << 20) -> list[tuple[str, str]]:
+    """Whole texts of up to ``per_lang`` rows of each language, outside the held-out fold, by the order of a hash of the id; of each language those that fit into ``most_bytes``."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), parts, part))
     at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -160,10 +159,8 @@ def language_sample(docs: DataFrame, per_lang: int, parts: int = 4, part: int =
         limit = F.when(F.col("lang") == lang, F.lit(min(1 << 30, (2 * per_lang + 50) * (1 << 30) // n))).otherwise(limit)
     near = usable.select("doc_id", "lang").where(at <= limit)
     order = W.Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang).select("doc_id").distinct().collect()
-    chosen = spark.createDataFrame([(r.doc_id,) for r in ids], "doc_id bigint")
-    rows = usable.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "lang").agg(F.min(F.substring("text", 1, max_chars)).alias("text")).collect()
-    return [(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.doc_id, r.lang))]
+    ids = near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang).select("doc_id", "lang").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "lang").collect()
+    return [(t, lang) for _, t, lang in fitting_texts(usable, [(r.doc_id, r.lang) for r in ids], "string", most_bytes)]
 
 
 def fit_language(docs: DataFrame, per_lang: int = 1000) -> LanguageModel:

@@ -3,15 +3,18 @@
 A payload is stored as a sound file of 8-bit samples (RIFF/WAVE, one channel, PCM), one sample a byte. The
 stored bytes are cut where a rolling gear hash has its low bits clear, so equal stretches give equal chunks
 wherever they lie. Digests of all chunks are counted; those that occur more than once make up the shared
-store, which keeps each chunk's bytes once and is joined to the ordered chunk lists by digest. Chunks that
-occur once stay with their medium, so only shared bytes are moved. A medium is put together from its list,
-held against its own digest, decoded, and its features are taken from what was read back.
-
-Which chunks are shared is told to the first pass by a bitmap of fixed size over the digests: a false hit
-moves a chunk that could have stayed, and changes no result.
-
-Defined results: a null or empty text has a payload of 64 zero bytes; equal texts give equal values; repeated
-rows each get their row; an empty table gives an empty result; other columns pass through by name.
+store, which keeps each chunk's bytes once. Every medium is written as the ordered list of its chunks: the digest of
+each, and its bytes where it occurs once, so only shared bytes are moved. The table is read back; shared chunks are
+joined to the lists by digest; each medium is put together from its list, held against its own digest, decoded, and
+its features are taken from what was read back.
+
+Which chunks are shared is told to the writing pass by a bitmap over the digests, sized by their number up to a bound,
+beyond which all chunks go by the store: a false hit moves a chunk that could have stayed, and changes no result.
+
+Defined results: a null or empty text has a payload of 64 zero bytes; texts of any length are stored whole, one at a
+time in memory; equal texts give equal values, whichever row or task they come from, so ties do not matter; repeated
+rows each get their row; an empty table gives an empty result; other columns pass through by name (``keep``), but
+ones with the names of the results are replaced.
 """
 
 from __future__ import annotations
@@ -19,13 +22,17 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .idfilter import Near, maybe_in
 from .textops import BYTE_KEYS
 from .workspace import materialize
 
@@ -33,7 +40,6 @@ BLOCK = 64
 RATE = 8000
 HEADER = struct.Struct("<4sI4s4sIHHIIHH4sI")
 LEAST, MEAN_BITS, MOST = 256, 10, 8192
-BITMAP_BITS = 1 << 23
 GEAR = (BYTE_KEYS >> np.uint64(32)).astype(np.uint32)
 
 
@@ -86,41 +92,31 @@ def chunks(media: bytes) -> Iterator[tuple[bytes, bytes]]:
 
 
 def _slot(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "little") & (BITMAP_BITS - 1)
+    return int.from_bytes(digest[:8], "little", signed=True)
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
-    for i, text in enumerate(batch.column("_text")):
-        yield i, bytes(text.as_buffer()) if text.is_valid else b""
+def _texts(column: pa.Array) -> Iterator[bytes]:
+    for text in column:
+        yield bytes(text.as_buffer()) if text.is_valid else b""
 
 
-def chunk_digests(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(digest, slot, size) of every chunk of every row."""
+def shared_chunks(docs: DataFrame, text_col: str = "text") -> Near | None:
+    """A test of the slots of digests that occur more than once, of all rows; see ``maybe_in``."""
 
     def run(batches):
         for batch in batches:
-            rows: list[tuple[bytes, int, int]] = []
-            for _, text in _texts(batch):
-                rows += [(d, _slot(d), len(p)) for d, p in chunks(encode_wave(payload_of(text)))]
-            if rows:
-                d, s, n = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.binary()), pa.array(s, pa.int64()), pa.array(n, pa.int64())], names=["digest", "slot", "size"])
+            counts: Counter[bytes] = Counter()
+            for text in _texts(batch.column("_text")):
+                counts.update(d for d, _ in chunks(encode_wave(payload_of(text))))
+            if counts:
+                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["digest", "n"])
 
-    return docs.select(F.col(text_col).alias("_text")).mapInArrow(run, "digest binary, slot bigint, size bigint")
-
-
-def shared_bitmap(docs: DataFrame, text_col: str = "text") -> bytes:
-    """A bit for each slot of a digest that occurs more than once; BITMAP_BITS bits at any input."""
-    repeated = chunk_digests(docs, text_col).groupBy("digest", "slot").agg(F.count("*").alias("n")).where("n > 1")
-    words = repeated.groupBy((F.col("slot") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
-    out = np.zeros(BITMAP_BITS // 64, dtype=np.int64)
-    for row in words.collect():
-        out[row.w] = row.bits
-    return out.tobytes()
+    counted = docs.select(F.col(text_col).alias("_text")).mapInArrow(run, "digest binary, n bigint").groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1")
+    slots = counted.select("digest").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([_slot(d) for d in b.column("digest").to_pylist()], pa.int64())], names=["id"]) for b in batches), "id bigint")
+    return maybe_in(materialize(slots, "shared-slots"))
 
 
 FEATURES = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, n_chunks bigint"
-_LISTED = "_n_bytes bigint, _sha256 binary, _seq bigint, _digest binary, _bytes binary"
 
 
 def features(media: bytes, n_bytes: int, n_chunks: int) -> tuple:
@@ -137,73 +133,76 @@ def _feature_arrays(rows: list[tuple]) -> list[pa.Array]:
 
 
 _FEATURE_NAMES = [x.split()[0] for x in FEATURES.split(", ")]
-_LISTED_NAMES = [x.split()[0] for x in _LISTED.split(", ")]
 
 
-def media_columns(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep... and FEATURES of each row, read back from deduplicated chunks."""
-    sc = docs.sparkSession.sparkContext
-    bitmap = sc.broadcast(shared_bitmap(docs, text_col))
-    base = docs.select(F.monotonically_increasing_id().alias("_row"), *keep, F.col(text_col).alias("_text"))
-    kept = ["_row", *keep]
-
-    def split(listed: bool):
-        """listed: a row for each chunk of the media that have chunks in the shared store; else the features of the others."""
-
-        def run(batches):
-            for batch in batches:
-                bits = np.frombuffer(bitmap.value, dtype=np.int64)
-                taken, rows, size = [], [], 0
-                for i, text in _texts(batch):
-                    media = encode_wave(payload_of(text))
-                    own = list(chunks(media))
-                    moved = [bool(bits[s >> 6] >> (s & 63) & 1) for s in (_slot(d) for d, _ in own)]
-                    if any(moved) != listed:
-                        continue
-                    if listed:
-                        whole = hashlib.sha256(media).digest()
-                        taken += [i] * len(own)
-                        rows += [(len(text), whole, k, d if m else None, p) for k, ((d, p), m) in enumerate(zip(own, moved))]
-                        size += len(media)
-                    else:
-                        taken.append(i)
-                        rows.append(features(b"".join(p for _, p in own), len(text), len(own)))
-                    if size > 1 << 23:
-                        yield emit(batch, taken, rows)
-                        taken, rows, size = [], [], 0
-                if rows:
-                    yield emit(batch, taken, rows)
-
-        def emit(batch, taken, rows):
-            own = [batch.column(c).take(pa.array(taken, pa.int64())) for c in kept]
-            if not listed:
-                return pa.RecordBatch.from_arrays([*own, *_feature_arrays(rows)], names=[*kept, *_FEATURE_NAMES])
-            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([*own, *[pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]], names=[*kept, *_LISTED_NAMES])
-
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.select(*kept).schema)
-        return base.mapInArrow(run, f"{schema}, {_LISTED if listed else FEATURES}")
-
-    lists = split(True)
-    store = materialize(lists.where("_digest is not null").groupBy("_digest").agg(F.min("_bytes").alias("_stored")), "chunk-store")
-    refs = lists.withColumn("_bytes", F.when(F.col("_digest").isNull(), F.col("_bytes")))
-    held = refs.where("_digest is null").select(*kept, "_n_bytes", "_sha256", "_seq", "_bytes")
-    fetched = refs.where("_digest is not null").drop("_bytes").join(store, "_digest").select(*kept, "_n_bytes", "_sha256", "_seq", F.col("_stored").alias("_bytes"))
-    whole = held.unionAll(fetched).groupBy(*kept, "_n_bytes", "_sha256").agg(F.sort_array(F.collect_list(F.struct("_seq", "_bytes"))).alias("_list"))
-    whole = whole.select(*kept, "_n_bytes", "_sha256", F.transform("_list", lambda x: x["_bytes"]).alias("_list"))
-    return whole.mapInArrow(_restorer(kept), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.select(*kept).schema) + ", " + FEATURES).unionAll(split(False)).drop("_row")
-
-
-def _restorer(kept: list[str]):
+#: A stored medium: its number, length of the text, own digest, and the chunks in order; or, without these, a chunk for the store.
+STORED = "_row bigint, _n_bytes bigint, _sha256 binary, _digests array<binary>, _parts array<binary>, _digest binary, _bytes binary"
+_STORED_NAMES = [x.split()[0] for x in STORED.split(", ")]
+
+
+def store_media(docs: DataFrame, shared: Near | None) -> DataFrame:
+    """STORED rows, beside ``_doc``, of each row of (_doc, _text), and of each shared chunk once a batch."""
+
+    def run(batches):
+        number = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            own = batch.column("_doc")
+            at, rows, pieces, size = [], [], {}, 0
+            for i, text in enumerate(_texts(batch.column("_text"))):
+                media = encode_wave(payload_of(text))
+                listed = list(chunks(media))
+                moved = shared.test(np.array([_slot(d) for d, _ in listed], dtype=np.int64)) if shared else np.ones(len(listed), dtype=bool)
+                at.append(i)
+                rows.append((number, len(text), hashlib.sha256(media).digest(), [d for d, _ in listed], [None if m else p for (_, p), m in zip(listed, moved)], None, None))
+                pieces.update((d, p) for (d, p), m in zip(listed, moved) if m)
+                number += 1
+                size += len(media)
+                if size > 1 << 22:
+                    yield emit(own, at, rows, pieces)
+                    at, rows, pieces, size = [], [], {}, 0
+            if rows:
+                yield emit(own, at, rows, pieces)
+
+    def emit(own, at, rows, pieces):
+        rows = rows + [(None, None, None, None, None, d, p) for d, p in pieces.items()]
+        taken = pa.concat_arrays([own.take(pa.array(at, pa.int64())), pa.nulls(len(pieces), own.type)])
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([taken, *[pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)]], names=["_doc", *_STORED_NAMES])
+
+    schema = T.StructType([T.StructField("_doc", docs.schema["_doc"].dataType), *T._parse_datatype_string(STORED).fields])
+    return docs.select("_doc", "_text").mapInArrow(run, schema)
+
+
+def restore_media(media: DataFrame, names: list[str]) -> DataFrame:
+    """``_doc`` and FEATURES of (_doc, _n_bytes, _sha256, _parts) once all parts are there."""
+
     def run(batches):
         for batch in batches:
             rows = []
-            for n, sha, parts in zip(batch.column("_n_bytes").to_pylist(), batch.column("_sha256").to_pylist(), batch.column("_list")):
+            for n, sha, parts in zip(batch.column("_n_bytes").to_pylist(), batch.column("_sha256").to_pylist(), batch.column("_parts")):
                 parts = parts.as_py()
-                media = b"".join(parts)
-                if hashlib.sha256(media).digest() != sha:
+                whole = b"".join(parts)
+                if hashlib.sha256(whole).digest() != sha:
                     raise ValueError("a medium differs from its digest after its chunks were put together")
-                rows.append(features(media, n, len(parts)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *_feature_arrays(rows)], names=[*kept, *_FEATURE_NAMES])
+                rows.append(features(whole, n, len(parts)))
+            yield pa.RecordBatch.from_arrays([batch.column("_doc"), *_feature_arrays(rows)], names=["_doc", *_FEATURE_NAMES])
+
+    schema = T.StructType([T.StructField("_doc", media.schema["_doc"].dataType), *T._parse_datatype_string(FEATURES).fields])
+    return media.select("_doc", "_n_bytes", "_sha256", "_parts").mapInArrow(run, schema).select(*[F.col("_doc").getField(f"c{k}").alias(c) for k, c in enumerate(names)], *_FEATURE_NAMES)
+
 
-    return run
+def media_columns(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keep... and FEATURES of each row, read back from deduplicated chunks."""
+    names = [c for c in keep if c not in _FEATURE_NAMES]
+    packed = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
+    base = docs.select(packed.alias("_doc"), F.col(text_col).alias("_text"))
+    stored = materialize(store_media(base, shared_chunks(docs, text_col)), "media", compression="zstd")
+    media = stored.where("_row is not null")
+    alone = media.where("not exists(_parts, p -> p is null)")
+    linked = media.where("exists(_parts, p -> p is null)")
+    store = materialize(stored.where("_digest is not null").groupBy("_digest").agg(F.min("_bytes").alias("_bytes")), "chunk-store", compression="zstd")
+    wanted = linked.select("_row", F.posexplode(F.arrays_zip("_digests", "_parts")).alias("_seq", "_p")).where("_p._parts is null").select("_row", "_seq", F.col("_p._digests").alias("_digest"))
+    fetched = wanted.join(store, "_digest").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_seq", "_bytes"))).alias("_fetched"))
+    filled = F.expr("transform(_parts, (p, i) -> coalesce(p, _fetched[i]))").alias("_parts")
+    whole = linked.join(fetched, "_row").select("_doc", "_n_bytes", "_sha256", filled)
+    return restore_media(alone, names).unionAll(restore_media(whole, names))

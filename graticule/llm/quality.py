@@ -2,12 +2,14 @@
 
 Two zstandard dictionaries are trained on all pieces of labelled good and bad texts. A text is split into pieces; each is
 compressed with either dictionary, and the difference of the sizes over their sum tells which it resembles.
-The mean of these differences, with how well the text packs at all, becomes a probability by a logistic
-curve fitted on labelled texts that the dictionaries have not seen.
-
-Defined results: null and empty texts get the score of an empty text (nothing resembles either side);
-without labelled rows of both classes every score is the default 0.5; repeated rows get equal scores;
-other columns pass through unread.
+The mean of these normalised differences becomes a probability by a logistic curve fitted on labelled texts that the
+dictionaries have not seen; how far the text packs without a dictionary sets the curve's level, as a difference
+says less of a text that packs poorly.
+
+Defined results: null and empty texts get the score of an empty text (nothing resembles either side); texts of any
+length are read whole, piece by piece; without labelled rows of both classes every score is the default 0.5; repeated
+rows, and texts that tie, get equal scores; an empty table gives an empty result; other columns pass through unread,
+but one named as ``into`` is replaced.
 """
 
 from __future__ import annotations
@@ -50,23 +52,21 @@ class CompressionClassifier:
         return model
 
     def features(self, texts: pa.Array) -> np.ndarray:
-        """Per text: mean normalised difference, least difference of a piece, packed share, log of the length."""
+        """Per text: mean normalised difference, and packed share without a dictionary."""
         plain, good, bad = (zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False) for d in (None, *map(_loaded, (self.good, self.bad))))
-        out = np.zeros((len(texts), 4))
+        out = np.zeros((len(texts), 2))
         for i, text in enumerate(texts):
             data = memoryview(text.as_buffer()) if text.is_valid else b""
             n = len(data)
             if not n:
                 continue
-            diff, least, packed, count = 0.0, 1.0, 0, max(1, n // PIECE)
+            diff, packed, count = 0.0, 0, max(1, n // PIECE)
             for k in range(count):
                 piece = data[k * PIECE : (k + 1) * PIECE if k + 1 < count else n]
                 a, b = len(good.compress(piece)), len(bad.compress(piece))
-                d = (b - a) / (a + b)
-                diff += d
-                least = min(least, d)
+                diff += (b - a) / (a + b)
                 packed += len(plain.compress(piece))
-            out[i] = diff / count, least, packed / n, np.log(n)
+            out[i] = diff / count, packed / n
         return out
 
     def score(self, texts: pa.Array) -> pa.Array:
@@ -95,10 +95,9 @@ def _content(texts: list[str], size: int) -> bytes:
 
 
 def _expand(x: np.ndarray) -> np.ndarray:
-    """Terms of the calibration: each feature, bounded, its square and the products."""
-    x = np.column_stack([np.tanh(x[:, 0] * 12), np.tanh(x[:, 1] * 12), x[:, 2] * 2, x[:, 3] * 0.2])
-    pairs = [x[:, i] * x[:, j] for i in range(4) for j in range(i, 4)]
-    return np.column_stack([np.ones(len(x)), x, *pairs])
+    """Terms of the calibration: both features, bounded, their squares and product."""
+    d, p = np.tanh(x[:, 0] * 12), x[:, 1] * 2
+    return np.column_stack([np.ones(len(x)), d, p, d * d, d * p, p * p])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:

@@ -19,14 +19,24 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Bytes that Spark hands to a Python worker at once while a table is written; its own default is eight times as much.
+BATCH_BYTES = 8 << 20
+
+
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back, which cuts its lineage.
 
     Unlike a checkpoint of rows the table is compressed and column-pruned, and it outlives lost executors.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graticule/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

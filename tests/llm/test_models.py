@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from graticule.llm import language, media, mixing, quality, sampling, toxicity
+from graticule.llm import idfilter, language, media, mixing, quality, sampling, toxicity
 from graticule.llm import queries as llm
 
 SF = "/root/testdata/sf0.01"
@@ -129,28 +129,57 @@ def test_chunks_put_together_and_realign():
         media.decode_wave(media.encode_wave(data)[:-1])
 
 
+def plain_chunks(data):
+    """Cut points by the rolling hash one byte at a time."""
+    ends, start, h = [], 0, 0
+    for i, byte in enumerate(data):
+        h = ((h << 1) + int(media.GEAR[byte])) & 0xFFFFFFFF
+        size = i + 1 - start
+        if size >= media.LEAST and (h >> (32 - media.MEAN_BITS) == 0 and len(data) > media.LEAST or size == media.MOST):
+            ends.append(i + 1)
+            start = i + 1
+    return ends + [len(data)] if start < len(data) else ends
+
+
 @pytest.mark.parametrize("full", [False, True])
 def test_media_columns(spark, monkeypatch, full):
-    """With a full bitmap every chunk goes by the store, with the same results."""
+    """Without a bitmap every chunk goes by the store, with the same results."""
     if full:
-        monkeypatch.setattr(media, "shared_bitmap", lambda *_: b"\xff" * (media.BITMAP_BITS // 8))
+        monkeypatch.setattr(idfilter, "MOST_BITS", 0)
     rng = random.Random(2)
     long = "".join(rng.choice("abcdefgh é") for _ in range(30_000))
     texts = [None, "", "a", "é" * 32, "x" * 64, "y" * 65, long, long, "z" + long, long[:15_000], "q" * 20_000]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 as _seq", "2 as n_bytes")
-    rows = {r.doc_id: r for r in media.media_columns(df.repartition(3)).collect()}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 as _seq", "2 as n_bytes", "3 as _row", "4 as _doc")
+    rows = {r.doc_id: r for r in media.media_columns(df.repartition(3), keep=("doc_id", "_row", "_doc", "n_bytes")).collect()}
     assert len(rows) == len(texts)
     for i, text in enumerate(texts):
         raw = (text or "").encode()
         payload = raw + bytes(64 - len(raw) % 64 if len(raw) % 64 or not raw else 0)
         r = rows[i]
+        assert (r["_row"], r["_doc"]) == (3, 4)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
         assert r.tail_crc32 == zlib.crc32(payload[-64:])
-        assert (r.media_bytes, r.media_sha256) == (len(payload) + 44, hashlib.sha256(media.encode_wave(payload)).hexdigest())
+        stored = media.encode_wave(payload)
+        assert (r.media_bytes, r.media_sha256) == (len(payload) + 44, hashlib.sha256(stored).hexdigest())
+        level = [b - 128 for b in payload]
+        assert r.feature == f"pcm8:8000:{len(level)}:sum={sum(level)}:energy={sum(x * x for x in level)}:peak={max(map(abs, level))}"
+        assert r.n_chunks == len(plain_chunks(stored))
     assert tuple(rows[6])[1:] == tuple(rows[7])[1:] and tuple(rows[0])[1:] == tuple(rows[1])[1:]
     assert media.media_columns(df.limit(0)).count() == 0
 
 
+def test_shared_chunks_are_stored_once_and_all_media_are_stored(spark):
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcdefgh") for _ in range(20_000))
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([long, long, "alone", f"b{long}"])], "doc_id long, text string")
+    base = df.selectExpr("struct(doc_id as c0) as _doc", "text as _text")
+    stored = media.store_media(base.coalesce(1), media.shared_chunks(df)).collect()
+    whole = [r for r in stored if r["_row"] is not None]
+    pieces = [r["_digest"] for r in stored if r["_row"] is None]
+    assert len(whole) == 4 and len(pieces) == len(set(pieces)) > 0
+    assert sum(len(p) for r in whole for p in r["_parts"] if p) < len(long) / 2
+
+
 # --- mixing
 
 
