@@ -7,7 +7,9 @@ highest probability a calibrated score, and a threshold taken there marks predic
 
 Defined results: a null text, or one without a letter of any script, is ``und`` with score 0 and rejected;
 without training rows every text is; a text with letters always gets a learned language, and rejection is a
-separate flag; repeated rows get equal results; other columns pass through unread.
+separate flag; texts of any length are read whole; of languages that tie the first by name is taken; repeated rows get
+equal results; an empty table gives an empty result; other columns pass through unread, but one named as ``into`` is
+replaced.
 """
 
 from __future__ import annotations

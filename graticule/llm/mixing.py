@@ -10,7 +10,7 @@ All arithmetic is on integers, so the result does not hang on the order of addit
 found from sums over hash ranges: documents of one range only, not of the leaf, are put in order, so a leaf
 with a third of all rows stays spread.
 
-Defined results: null levels are a node of their own; documents without tokens are never chosen; rows
+Defined results: texts of any length are counted whole; documents whose places tie are ordered by id; null levels are a node of their own; documents without tokens are never chosen; rows
 that share an id and leaf are one unit (a unit cut by the prefix's end shares the rest in proportion, rounded
 down); empty tables and a budget of 0 give no rows; weights not given are 1, and a weight of 0 closes a node.
 """

@@ -9,9 +9,12 @@ instances, mark the identifier-like tokens beside them that the fixed patterns m
 The graph is built from all documents; only contexts above the threshold leave Spark, and they are matched in
 blocks of bounded size in a last pass over the texts, which needs no join by document.
 
-Defined results: null and empty texts have no spans; a marked token never overlaps a base span; repeated
-rows each get their row, and in the graph count as often as they occur; an empty table gives an empty
-result; other columns pass through unread.
+Words of a context and tokens may be of any length; in the graph, ones of over ``LONG`` characters go by their digest.
+
+Defined results: null and empty texts have no spans; texts of any length are read whole; a marked token never
+overlaps a base span; of contexts that tie, a token takes the kind listed first; repeated rows each get their row, and
+in the graph an instance counts once a context; an empty table gives an empty result; other columns pass through
+unread, but ones with the names of the results, and those named ``into`` and ``into``_base, are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .workspace import materialize
+from .workspace import materialize, unused
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns. An address is found from its at sign, which reads long texts in one go.
@@ -36,7 +39,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
-LEAST_DIGITS, MOST_CHARS = 5, 64
+LEAST_DIGITS, LONG = 5, 64
 SUPPORT, SURE = 5, 0.9
 BLOCK = 200_000
 
@@ -87,19 +90,34 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-_EDGE = re.compile(r"[^\w@+]*(.*?)[^\w]*\Z", re.S)
+_EDGES = ".,;:!?()[]\"'|"
+
+
+def _named(word: str) -> str:
+    """A word in lower case, or its digest where it is long."""
+    word = word.lower()
+    return word if len(word) <= LONG else f"#{hashlib.sha256(word.encode()).hexdigest()}"
+
+
+def _word(text: str, at: int, step: int) -> tuple[str, int]:
+    """The next word from ``at`` on (step 1) or before it (step -1), without edges, and where it ends."""
+    n = len(text)
+    look = at if step > 0 else at - 1
+    while 0 <= look < n and text[look].isspace():
+        look += step
+    first = look
+    while 0 <= look < n and not text[look].isspace():
+        look += step
+    word = text[first:look] if step > 0 else text[look + 1 : first + 1]
+    return _named(word.strip(_EDGES)) if word.strip(_EDGES) else "", look if step > 0 else look + 1
 
 
 def _context(text: str, start: int, end: int) -> list[str]:
-    """The contexts of a place: two words before, or one before and one after, in lower case."""
-    before = [w for w in (x.strip(".,;:!?()[]\"'|").lower() for x in text[max(0, start - 80) : start].split()[-2:]) if w]
-    after = [w for w in (x.strip(".,;:!?()[]\"'|").lower() for x in text[end : end + 60].split()[:1]) if w]
-    out = []
-    if len(before) == 2:
-        out.append(f"{before[0]} {before[1]} _")
-    if before and after:
-        out.append(f"{before[-1]} _ {after[0]}")
-    return out
+    """The contexts of a place: two words before, or one before and one after."""
+    one, at = _word(text, start, -1)
+    two, _ = _word(text, at, -1)
+    after, _ = _word(text, end, 1)
+    return [c for c, use in ((f"{two} {one} _", one and two), (f"{one} _ {after}", one and after)) if use]
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
@@ -116,12 +134,12 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[in
         while end < n and not text[end].isspace():
             end += 1
         done = end
-        if end - start > MOST_CHARS + 20:
-            continue
-        inner = _EDGE.match(text[start:end])
-        start, end = start + inner.start(1), start + inner.end(1)
+        while start < end and not (text[start].isalnum() or text[start] in "_@+"):
+            start += 1
+        while end > start and not (text[end - 1].isalnum() or text[end - 1] == "_"):
+            end -= 1
         token = text[start:end]
-        if not token or len(token) > MOST_CHARS or sum(c.isdigit() for c in token) < LEAST_DIGITS and "@" not in token[1:-1]:
+        if not token or sum(c.isdigit() for c in token) < LEAST_DIGITS and "@" not in token[1:-1]:
             continue
         while k < len(taken) and taken[k][1] <= start:
             k += 1
@@ -141,7 +159,7 @@ def occurrences(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     continue
                 base = base_spans(text)
                 for kind, a, b in base + [(-1, a, b) for a, b in candidates(text, base)]:
-                    rows += [(c, text[a:b].lower()[:80], kind) for c in _context(text, a, b)]
+                    rows += [(c, _named(text[a:b]), kind) for c in _context(text, a, b)]
             if rows:
                 c, i, k = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(i), pa.array(k, pa.int32())], names=["context", "instance", "kind"])
@@ -237,7 +255,8 @@ def scan_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The columns of ``docs`` but the text, with n_email, n_ip, n_card, n_phone, n_context, base_sha256, spans."""
     found = find_pii(docs, learn_contexts(docs, text_col), text_col)
     count = lambda kind: F.size(F.filter("_pii_base", lambda s: s["kind"] == kind)).cast("bigint")
-    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    given = ("n_email", "n_ip", "n_card", "n_phone", "n_context", "base_sha256", "spans", "_pii", "_pii_base")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col and c.lower() not in given]
     return found.select(*others, *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)], (F.size("_pii") - F.size("_pii_base")).cast("bigint").alias("n_context"), F.sha2(named("_pii_base"), 256).alias("base_sha256"), named("_pii").alias("spans"))
 
 
@@ -253,14 +272,15 @@ def mask_text(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def mask_pii(docs: DataFrame, text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with personal data in the text replaced by its kind; ``size_col``, if there, is the new length."""
-    found = find_pii(docs, learn_contexts(docs, text_col), text_col)
+    into = unused(docs, "spans_of_text")
+    found = find_pii(docs, learn_contexts(docs, text_col), text_col, into)
 
     def run(texts: pa.Array, spans: pa.Array) -> pa.Array:
         return pa.array([t if t is None or not s else mask_text(t, [(x["kind"], x["start"], x["end"]) for x in s]) for t, s in zip(texts.to_pylist(), spans.to_pylist())], pa.string())
 
-    masked = found.withColumn(text_col, F.arrow_udf(run, T.StringType())(F.col(text_col), F.col("_pii")))
+    masked = found.withColumn(text_col, F.arrow_udf(run, T.StringType())(F.col(text_col), F.col(into)))
     if size_col and size_col in docs.columns:
-        masked = masked.withColumn(size_col, F.when(F.size("_pii") > 0, F.length(text_col).cast(docs.schema[size_col].dataType)).otherwise(F.col(size_col)))
+        masked = masked.withColumn(size_col, F.when(F.size(into) > 0, F.length(text_col).cast(docs.schema[size_col].dataType)).otherwise(F.col(size_col)))
     return masked.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

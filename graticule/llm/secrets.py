@@ -11,8 +11,10 @@ needed to decide whether any lies in reach, so parts never meet as pairs.
 Matches are cut out of a text with ``split``: lengths of the pieces between them give their places, in code
 points. Only documents with weak parts take part in the join.
 
-Defined results: null and empty texts have no spans; the same characters may belong to spans of several
-kinds; repeated rows each get their row; other columns pass through by name.
+Defined results: null and empty texts have no spans; texts of any length are scanned whole; the same characters may
+belong to spans of several kinds; spans that start together are ordered by kind, then end; repeated rows each get
+their row; an empty table gives an empty result; other columns pass through, whatever their names, but ones with the
+names of the results are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import materialize
+from .workspace import materialize, packed, unpacked
 
 #: The base patterns.
 ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -59,7 +61,7 @@ def _where_found(text: Column, pattern: str, spans: Column) -> Column:
 
 
 def find_parts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` without the text, with arrays of spans: _s_base (kinds 0 to 2), _s_weak (3 and 4), _s_ends (5)."""
+    """_row, _doc (the other columns) and arrays of spans: _s_base (kinds 0 to 2), _s_weak (3 and 4), _s_ends (5)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     long_enough = F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda x: F.length(x) >= ASSIGN_LEAST)
     access_enough = F.transform(F.regexp_extract_all(text, F.lit(ACCESS), F.lit(0)), lambda x: F.length(x) >= ACCESS_LEAST)
@@ -69,8 +71,7 @@ def find_parts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     weak_id = _where_found(text, "(?:ASIA|AROA|AIDA|ABIA|ACCA)[A-Z0-9]{12}", _spans(text, WEAK_ID, 3))
     weak_secret = _where_found(text, "[A-Za-z0-9+/]{40}", _spans(text, WEAK_SECRET, 4))
     weak = F.concat(weak_id, weak_secret)
-    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    parts = docs.select(F.monotonically_increasing_id().alias("_row"), *others, F.col(text_col).alias("_text"), F.concat(assign, access, hexes).alias("_s_base"), weak.alias("_s_weak"))
+    parts = docs.select(F.monotonically_increasing_id().alias("_row"), packed(docs, text_col), F.col(text_col).alias("_text"), F.concat(assign, access, hexes).alias("_s_base"), weak.alias("_s_weak"))
     ends = F.when(F.size("_s_weak") > 0, _spans(F.coalesce(F.col("_text"), F.lit("")), ENDPOINT, 5)).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,kind:int>>"))
     return parts.withColumn("_s_ends", ends).drop("_text")
 
@@ -107,8 +108,8 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", reach: int = REACH) ->
     joined = parts.join(link_parts(parts, reach), "_row", "left")
     count = lambda kind: F.size(F.filter("_s_base", lambda s: s["kind"] == kind)).cast("bigint")
     extra = F.coalesce("_s_extra", F.array().cast("array<struct<start:bigint,end:bigint,kind:int>>"))
-    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col and c not in ("n_assign", "n_access", "n_hex", "n_weak", "base_sha256", "spans")]
+    others = [c for c in unpacked(docs, text_col) if c[0] not in ("n_assign", "n_access", "n_hex", "n_weak", "base_sha256", "spans")]
     return joined.select(
-        *others, count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.size(extra).cast("bigint").alias("n_weak"),
+        *[c.alias(name) for name, c in others], count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.size(extra).cast("bigint").alias("n_weak"),
         F.sha2(_named(F.col("_s_base")), 256).alias("base_sha256"), _named(F.concat("_s_base", extra)).alias("spans"),
     )

@@ -7,8 +7,9 @@ through low-rank factors, a weight for every pair that occurs together, which an
 goes through a logistic curve.
 
 Defined results: null and empty texts have no features and get the score of the bias; without labelled rows
-of both classes every score is 0.5; repeated words count once, repeated rows get equal scores; other
-columns pass through unread.
+of both classes every score is 0.5; texts of any length are read whole; repeated words count once, repeated rows and
+texts that tie get equal scores; an empty table gives an empty result; other columns pass through unread, but one
+named as ``into`` is replaced.
 """
 
 from __future__ import annotations

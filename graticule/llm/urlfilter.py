@@ -8,8 +8,10 @@ The longest fitting rule decides, then the one with the longer host, then block
 Rules beyond what a broadcast may hold are joined by the same keys with a shuffle, as Spark decides by size.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and fits no rule; a URL that
-no rule fits gets the default verdict and a null rule; repeated rows each get their row; repeated rules count
-once; an empty rule list leaves all to the default; extra columns may be carried through by name.
+no rule fits gets the default verdict and a null rule; URLs of any length are judged whole; repeated rows each get
+their row; repeated rules count once; of rules that tie, block wins; an empty rule list leaves all to the default, an
+empty table gives an empty result; extra columns may be carried through by name (``keep``), but ones with the names of
+the results are replaced.
 """
 
 from __future__ import annotations
@@ -43,6 +45,7 @@ def _labels(host: Column) -> Column:
 
 def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", keep: tuple[str, ...] = ("page_id",), default: str = "allow") -> DataFrame:
     """keep..., host, path, rule, verdict, n_matches for every row of ``pages``. rules: RULE_SCHEMA."""
+    keep = tuple(c for c in keep if c.lower() not in ("host", "path", "rule", "verdict", "n_matches"))
     rules = rules.where("rule_host is not null and rule_path is not null").distinct()
     shapes = [(r.n, r.k) for r in rules.select(_labels(F.col("rule_host")).alias("n"), F.length("rule_path").alias("k")).distinct().orderBy("n", "k").collect()]
     base = pages.select(F.monotonically_increasing_id().alias("_row"), *keep, url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import gc
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import shared_dir
 
@@ -19,6 +20,16 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def packed(df: DataFrame, *without: str) -> Column:
+    """``_doc``: the columns of ``df`` but ``without``, in one struct, where no name of theirs can clash."""
+    return F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(df.columns) if c not in without]).alias("_doc")
+
+
+def unpacked(df: DataFrame, *without: str) -> list[tuple[str, Column]]:
+    """(name, column) of what ``packed`` put into ``_doc``."""
+    return [(c, F.col("_doc").getField(f"c{k}")) for k, c in enumerate(df.columns) if c not in without]
+
+
 #: Bytes that Spark hands to a Python worker at once while a table is written; its own default is eight times as much.
 BATCH_BYTES = 8 << 20
 
