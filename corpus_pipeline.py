@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from graticule.llm import decontaminate, mixing, nearjoin, pii, quality
 from graticule.llm.queries import LANGUAGE_WEIGHTS
-from graticule.llm.workspace import materialize
+from graticule.llm.workspace import materialize, unused
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: the documents whose quality score is at least a half."""
     model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.with_quality(docs, model, into="_score")
-    return scored.where("_score >= 0.5").select(*[F.col(f"`{c}`") for c in docs.columns])
+    score = unused(docs, "score")
+    return quality.with_quality(docs, model, into=score).where(F.col(score) >= 0.5).drop(score)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
