@@ -26,6 +26,7 @@ from pyspark.sql import window as W
 
 from .sampling import fitting_texts, held_out
 from .textops import BYTE_KEYS, LOWER, PLACES, U64, mix, slices
+from .workspace import small_batches
 
 BUCKETS = 1 << 16
 SIZES = (2, 3, 4)
@@ -172,5 +173,6 @@ def fit_language(docs: DataFrame, per_lang: int = 1000) -> LanguageModel:
 
 def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text", into: str = "_lang") -> DataFrame:
     """``docs`` with a struct column ``into``: lang_pred, score, rejected."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.withColumn(into, F.arrow_udf(lambda t, shared=shared: shared.value.predict(t), RESULT)(F.col(text_col)))

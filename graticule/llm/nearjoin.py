@@ -41,12 +41,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from .graph import connected_components
-from .idfilter import maybe_in
+from .idfilter import Near, maybe_in
 from .textops import SPACE_WORDS, U64, mix, shingle_set, slices, words
 from .workspace import drop_table, materialize, release, unused
 
@@ -130,17 +130,24 @@ def low_sets(texts: DataFrame) -> DataFrame:
     return texts.select("doc", "text", "h").mapInArrow(run, "doc bigint, h binary, n bigint, tokens binary")
 
 
-def low_blocks(sets: DataFrame) -> DataFrame:
-    """BLOCK_SCHEMA of the rows of ``low_sets``."""
+def low_blocks(sets: DataFrame, but: Near | None = None) -> DataFrame:
+    """BLOCK_SCHEMA of the rows of ``low_sets``, without those whose ``row_id`` may be in ``but``."""
 
     def run(batches):
         blocks = _Blocks()
         for batch in batches:
+            if but:
+                batch = batch.filter(pa.array(~but.test(batch.column("id").to_numpy(zero_copy_only=False))))
             for doc, h, n, tokens in zip(*[batch.column(c).to_pylist() for c in ("doc", "h", "n")], batch.column("tokens")):
                 yield from blocks.add(doc, h, n, np.frombuffer(tokens.as_buffer(), dtype=U64))
         yield from blocks.flush()
 
-    return sets.select("doc", "h", "n", "tokens").mapInArrow(run, BLOCK_SCHEMA)
+    return sets.select("doc", "h", "n", "tokens", row_id().alias("id")).mapInArrow(run, BLOCK_SCHEMA)
+
+
+def row_id() -> Column:
+    """64 bits of a row's id and text."""
+    return F.xxhash64("doc", "h")
 
 
 def set_blocks(texts: DataFrame) -> DataFrame:
@@ -603,18 +610,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     several = classes.where("members > 1").select(F.col("h").alias("ch"), "node")
     copies = each.join(several, (F.col("h") == F.col("ch")) & ~F.col("doc").eqNullSafe(F.col("node"))).select(F.col("doc").alias("cd"), "ch").distinct()
     copies = materialize(copies, "copies")
-    row_id = F.xxhash64("doc", "h")
     copied = maybe_in(copies.select(F.xxhash64("cd", "ch").alias("id")))
-    checked = (low.where(copied(row_id)) if copied else low).join(copies, F.col("doc").eqNullSafe(F.col("cd")) & (F.col("h") == F.col("ch")), "left_anti")
-    blocks = materialize(low_blocks(low.where(~copied(row_id)).unionAll(checked) if copied else checked), "low-blocks")
+    checked = (materialize(low.where(copied(row_id())), "low-checked") if copied else low).join(copies, F.col("doc").eqNullSafe(F.col("cd")) & (F.col("h") == F.col("ch")), "left_anti")
+    blocks = materialize(low_blocks(low, copied).unionAll(low_blocks(checked)) if copied else low_blocks(checked), "low-blocks")
     drop_table(low)
     release(spark)
     some = materialize(may_link(blocks, "doc bigint, h binary", _AsNames), "candidates")
     drop_table(blocks)
     release(spark)
-    wanted = maybe_in(some.select(row_id.alias("id")))
-    near = hashed.where(wanted(row_id)) if wanted else hashed
+    wanted = maybe_in(some.select(row_id().alias("id")))
+    near = materialize(hashed.where(wanted(row_id())), "near-texts") if wanted else hashed
     blocks = materialize(set_blocks(near.join(some.distinct(), ["doc", "h"], "left_semi")), "set-blocks")
+    if wanted:
+        drop_table(near)
     release(spark)
     live = materialize(may_link(blocks, LIVE_SCHEMA, _AsRows), "live")
     drop_table(blocks)

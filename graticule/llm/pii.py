@@ -14,7 +14,7 @@ Words of a context and tokens may be of any length; in the graph, ones of over `
 Defined results: null and empty texts have no spans; texts of any length are read whole; a marked token never
 overlaps a base span; of contexts that tie, a token takes the kind listed first; repeated rows each get their row, and
 in the graph an instance counts once a context; an empty table gives an empty result; other columns pass through
-unread, but ones with the names of the results, and those named ``into`` and ``into``_base, are replaced.
+unread, but ones with the names of the results, or named as ``into``, are replaced.
 """
 
 from __future__ import annotations
@@ -24,11 +24,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .workspace import materialize, unused
+from .workspace import materialize, small_batches, unused
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns. An address is found from its at sign, which reads long texts in one go.
@@ -198,42 +198,66 @@ def learn_contexts(docs: DataFrame, text_col: str = "text", support: int = SUPPO
     return best.select("context", "b.kind")
 
 
-def find_pii(docs: DataFrame, contexts: DataFrame, text_col: str = "text", into: str = "_pii", block: int = BLOCK) -> DataFrame:
-    """``docs`` with ``into``: base spans and those that ``contexts`` mark, as array<struct<kind, start, end>> by kind, then start.
+FOUND = T.StructType([T.StructField("base", SPANS), T.StructField("spans", SPANS), T.StructField("masked", T.StringType())])
 
-    ``into_base`` holds the base spans alone. Contexts reach the executors in blocks of at most ``block``.
+
+def mark(text: str, base: list[tuple[int, int, int]], spans: set[tuple[int, int, int]], known: dict[str, int]) -> list[tuple[int, int, int]]:
+    """``spans`` and the candidates of ``text`` that the contexts ``known`` mark and no span has yet, by kind, then start."""
+    if known and text and ("@" in text or DIGIT.search(text)):
+        for a, z in candidates(text, base):
+            kinds = [known[c] for c in _context(text, a, z) if c in known]
+            if kinds and not any((k, a, z) in spans for k in range(len(KINDS))):
+                spans.add((min(kinds), a, z))
+    return sorted(spans)
+
+
+def find_pii(docs: DataFrame, contexts: DataFrame, text_col: str = "text", into: str = "_pii", block: int = BLOCK, masked: bool = False) -> DataFrame:
+    """``docs`` with ``into``: base spans, all spans with those that ``contexts`` mark, as array<struct<kind, start, end>> by kind, then start, and the masked text.
+
+    Contexts reach the executors in blocks of at most ``block``; with one block all is done in one pass of one function.
     """
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
-    known: dict[str, int] = {}
-    first = True
-
-    def apply(df: DataFrame, known: dict[str, int], first: bool) -> DataFrame:
-        shared = sc.broadcast(known)
-        if first:
-            df = df.withColumn(f"{into}_base", F.arrow_udf(lambda t: _span_array([base_spans(x or "") for x in t.to_pylist()]), SPANS)(F.col(text_col)))
-            df = df.withColumn(into, F.col(f"{into}_base"))
-        if not known:
-            return df
-
-        def more(texts: pa.Array, base: pa.Array, found: pa.Array) -> pa.Array:
-            out = []
-            for text, b, f in zip(texts.to_pylist(), base.to_pylist(), found.to_pylist()):
-                spans = {(x["kind"], x["start"], x["end"]) for x in f}
-                if text and ("@" in text or DIGIT.search(text)):
-                    for a, z in candidates(text, [(x["kind"], x["start"], x["end"]) for x in b]):
-                        kinds = [shared.value[c] for c in _context(text, a, z) if c in shared.value]
-                        if kinds and not any((k, a, z) in spans for k in range(len(KINDS))):
-                            spans.add((min(kinds), a, z))
-                out.append(sorted(spans))
-            return _span_array(out)
-
-        return df.withColumn(into, F.arrow_udf(more, SPANS)(F.col(text_col), F.col(f"{into}_base"), F.col(into)))
+    blocks = _blocks(contexts, block)
+    known, later = next(blocks, {}), next(blocks, None)
+    shared, whole = sc.broadcast(known), masked and later is None
+
+    def first(texts: pa.Array) -> pa.Array:
+        plain = texts.to_pylist()
+        base = [base_spans(x or "") for x in plain]
+        spans = [mark(x, b, set(b), shared.value) for x, b in zip(plain, base)]
+        told = [mask_text(x, s) if x is not None and s else x for x, s in zip(plain, spans)] if whole else [None] * len(plain)
+        return pa.StructArray.from_arrays([_span_array(base), _span_array(spans), pa.array(told, pa.string())], names=FOUND.names)
+
+    docs = docs.withColumn(into, F.arrow_udf(first, FOUND)(F.col(text_col)))
+    while later is not None:
+        held = sc.broadcast(later)
+        later = next(blocks, None)
+        docs = docs.withColumn(into, F.arrow_udf(_more(held, masked and later is None), FOUND)(F.col(text_col), F.col(into).getField("base"), F.col(into).getField("spans")))
+    return docs
+
+
+def _more(held, last: bool):
+    """What a further block of contexts adds."""
 
+    def run(texts: pa.Array, base: pa.Array, found: pa.Array) -> pa.Array:
+        plain, own = texts.to_pylist(), [[(x["kind"], x["start"], x["end"]) for x in b] for b in base.to_pylist()]
+        spans = [mark(x, b, {(s["kind"], s["start"], s["end"]) for s in f}, held.value) for x, b, f in zip(plain, own, found.to_pylist())]
+        told = [mask_text(x, s) if x is not None and s else x for x, s in zip(plain, spans)] if last else [None] * len(plain)
+        return pa.StructArray.from_arrays([_span_array(own), _span_array(spans), pa.array(told, pa.string())], names=FOUND.names)
+
+    return run
+
+
+def _blocks(contexts: DataFrame, block: int) -> Iterator[dict[str, int]]:
+    known: dict[str, int] = {}
     for row in contexts.toLocalIterator():
         known[row.context] = row.kind
         if len(known) >= block:
-            docs, known, first = apply(docs, known, first), {}, False
-    return apply(docs, known, first) if known or first else docs
+            yield known
+            known = {}
+    if known:
+        yield known
 
 
 def _span_array(rows: list[list[tuple[int, int, int]]]) -> pa.Array:
@@ -245,19 +269,21 @@ def _span_array(rows: list[list[tuple[int, int, int]]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(fields, names=["kind", "start", "end"]))
 
 
-def named(spans: str):
+def named(spans: Column) -> Column:
     """kind:start:end of a column of spans, in its order, comma-joined."""
     names = F.array(*[F.lit(k) for k in KINDS])
-    return F.array_join(F.transform(F.col(spans), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def scan_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The columns of ``docs`` but the text, with n_email, n_ip, n_card, n_phone, n_context, base_sha256, spans."""
-    found = find_pii(docs, learn_contexts(docs, text_col), text_col)
-    count = lambda kind: F.size(F.filter("_pii_base", lambda s: s["kind"] == kind)).cast("bigint")
-    given = ("n_email", "n_ip", "n_card", "n_phone", "n_context", "base_sha256", "spans", "_pii", "_pii_base")
+    into = unused(docs, "pii")
+    found = find_pii(docs, learn_contexts(docs, text_col), text_col, into)
+    base, spans = F.col(into).getField("base"), F.col(into).getField("spans")
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint")
+    given = ("n_email", "n_ip", "n_card", "n_phone", "n_context", "base_sha256", "spans")
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col and c.lower() not in given]
-    return found.select(*others, *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)], (F.size("_pii") - F.size("_pii_base")).cast("bigint").alias("n_context"), F.sha2(named("_pii_base"), 256).alias("base_sha256"), named("_pii").alias("spans"))
+    return found.select(*others, *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)], (F.size(spans) - F.size(base)).cast("bigint").alias("n_context"), F.sha2(named(base), 256).alias("base_sha256"), named(spans).alias("spans"))
 
 
 def mask_text(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -272,16 +298,12 @@ def mask_text(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def mask_pii(docs: DataFrame, text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with personal data in the text replaced by its kind; ``size_col``, if there, is the new length."""
-    into = unused(docs, "spans_of_text")
-    found = find_pii(docs, learn_contexts(docs, text_col), text_col, into)
-
-    def run(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        return pa.array([t if t is None or not s else mask_text(t, [(x["kind"], x["start"], x["end"]) for x in s]) for t, s in zip(texts.to_pylist(), spans.to_pylist())], pa.string())
-
-    masked = found.withColumn(text_col, F.arrow_udf(run, T.StringType())(F.col(text_col), F.col(into)))
+    into = unused(docs, "pii")
+    found = find_pii(docs, learn_contexts(docs, text_col), text_col, into, masked=True)
+    told = found.withColumn(text_col, F.col(into).getField("masked"))
     if size_col and size_col in docs.columns:
-        masked = masked.withColumn(size_col, F.when(F.size(into) > 0, F.length(text_col).cast(docs.schema[size_col].dataType)).otherwise(F.col(size_col)))
-    return masked.select(*[F.col(f"`{c}`") for c in docs.columns])
+        told = told.withColumn(size_col, F.when(F.size(F.col(into).getField("spans")) > 0, F.length(text_col).cast(docs.schema[size_col].dataType)).otherwise(F.col(size_col)))
+    return told.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def sha256_of(spans: list[tuple[int, int, int]]) -> str:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .sampling import labelled_sample
+from .workspace import small_batches
 
 PIECE = 2048
 LEVEL = 3
@@ -122,5 +123,6 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Co
 
 def with_quality(docs: DataFrame, model: CompressionClassifier, text_col: str = "text", into: str = "score") -> DataFrame:
     """``docs`` with the score of each whole text, 0 to 1, higher for label 1."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.withColumn(into, F.arrow_udf(lambda t, shared=shared: shared.value.score(t), T.DoubleType())(F.col(text_col)))

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from .sampling import labelled_sample
 from .textops import ALNUM_WORDS, U64, mix, shingle_set, slices, words
+from .workspace import small_batches
 
 BUCKETS = 1 << 20
 PREFIX = 5
@@ -185,5 +186,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> F
 
 def with_toxicity(docs: DataFrame, model: FactorizationMachine, text_col: str = "text", into: str = "score") -> DataFrame:
     """``docs`` with the score of each whole text, 0 to 1, higher for label 1."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.withColumn(into, F.arrow_udf(lambda t, shared=shared: shared.value.score(t), T.DoubleType())(F.col(text_col)))

@@ -30,10 +30,15 @@ def unpacked(df: DataFrame, *without: str) -> list[tuple[str, Column]]:
     return [(c, F.col("_doc").getField(f"c{k}")) for k, c in enumerate(df.columns) if c not in without]
 
 
-#: Bytes that Spark hands to a Python worker at once while a table is written; its own default is eight times as much.
+#: Bytes that Spark hands to a Python worker at once; its own default is eight times as much.
 BATCH_BYTES = 8 << 20
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands at most BATCH_BYTES to a Python worker at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back, which cuts its lineage.
 
@@ -41,13 +46,8 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graticule/{name}-{uuid.uuid4().hex}"
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(BATCH_BYTES))
-    try:
-        df.write.options(**options).parquet(path)
-    finally:
-        spark.conf.set(key, before)
+    small_batches(spark)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

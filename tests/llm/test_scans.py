@@ -162,7 +162,7 @@ def test_pii_query_and_bootstrapped_contexts(spark):
     assert masked[first].text == "call me at <PHONE> today" and masked[first].n_chars == len(masked[first].text)
     assert masked[0].text is None and masked[6].text == "😀 <EMAIL> 10.0.0.300, <CARD>"
     blocks = pii.find_pii(df, pii.learn_contexts(df), block=1)
-    assert [len(r._pii) for r in blocks.where(f"doc_id = {first}").collect()] == [1]
+    assert [len(r["_pii"].spans) for r in blocks.where(f"doc_id = {first}").collect()] == [1]
     assert pii.scan_pii(df.limit(0)).count() == 0
 
 
