@@ -666,10 +666,13 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     groups = materialize(near_duplicates(docs), "groups")
     taken, own = unused(docs, "taken"), [F.col(f"`{c}`") for c in docs.columns]
     dropped = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(taken)).distinct()
-    kept = docs.join(dropped, F.col("doc_id") == F.col(taken), "left_anti")
+    dropped = materialize(dropped, "dropped")
+    near, key = maybe_in(dropped.select(F.xxhash64(taken).alias("id"))), F.xxhash64(F.col("doc_id").cast("bigint"))
+    same = F.col("doc_id") == F.col(taken)
+    kept = docs.where(~near(key)).unionAll(docs.where(near(key)).join(dropped, same, "left_anti")) if near else docs.join(dropped, same, "left_anti")
     again = materialize(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(taken)), "repeated")
     if again.isEmpty():
         return kept
     order = W.Window.partitionBy("doc_id").orderBy(F.xxhash64(*own))
-    once = kept.join(again, F.col("doc_id") == F.col(taken), "left_semi").withColumn(taken, F.row_number().over(order)).where(F.col(taken) == 1).select(*own)
-    return kept.join(again, F.col("doc_id") == F.col(taken), "left_anti").unionAll(once)
+    once = kept.join(again, same, "left_semi").withColumn(taken, F.row_number().over(order)).where(F.col(taken) == 1).select(*own)
+    return kept.join(again, same, "left_anti").unionAll(once)
