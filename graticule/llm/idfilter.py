@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from .textops import U64, mix
 
 #: Bits for each id, and at most; with more ids than MOST_BITS / EACH there is no filter and the join alone decides.
-EACH, MOST_BITS = 8, 1 << 24
+EACH, MOST_BITS = 32, 1 << 26
 
 
 def _slots(values: np.ndarray, bits: int) -> np.ndarray:

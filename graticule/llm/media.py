@@ -24,9 +24,11 @@ import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,15 +36,25 @@ from pyspark.sql import types as T
 
 from .idfilter import Near, maybe_in
 from .textops import BYTE_KEYS
-from .workspace import materialize
+from .workspace import materialize, release
 
 BLOCK = 64
 RATE = 8000
 HEADER = struct.Struct("<4sI4s4sIHHIIHH4sI")
 LEAST, MEAN_BITS, MOST = 256, 10, 8192
+#: Chunks lie packed in the store and in the lists.
+PACK, UNPACK = zstandard.ZstdCompressor(level=3, write_checksum=False), zstandard.ZstdDecompressor()
 GEAR = (BYTE_KEYS >> np.uint64(32)).astype(np.uint32)
 
 
+def pack(piece: bytes) -> bytes:
+    return PACK.compress(piece)
+
+
+def unpack(packed: pa.Buffer) -> bytes:
+    return UNPACK.decompress(packed)
+
+
 def payload_of(text: bytes) -> bytes:
     """The text with zero bytes appended up to a positive multiple of 64."""
     return text + bytes(-len(text) % BLOCK if text else BLOCK)
@@ -141,27 +153,30 @@ _STORED_NAMES = [x.split()[0] for x in STORED.split(", ")]
 
 
 def store_media(docs: DataFrame, shared: Near | None) -> DataFrame:
-    """STORED rows, beside ``_doc``, of each row of (_doc, _text), and of each shared chunk once a batch."""
+    """STORED rows, beside ``_doc``, of each row of (_doc, _text), and of each shared chunk once a task."""
 
     def run(batches):
         number = TaskContext.get().partitionId() << 40
+        sent: set[bytes] = set()
         for batch in batches:
             own = batch.column("_doc")
             at, rows, pieces, size = [], [], {}, 0
             for i, text in enumerate(_texts(batch.column("_text"))):
                 media = encode_wave(payload_of(text))
-                listed = list(chunks(media))
+                listed = [(d, pack(p)) for d, p in chunks(media)]
                 moved = shared.test(np.array([_slot(d) for d, _ in listed], dtype=np.int64)) if shared else np.ones(len(listed), dtype=bool)
                 at.append(i)
                 rows.append((number, len(text), hashlib.sha256(media).digest(), [d for d, _ in listed], [None if m else p for (_, p), m in zip(listed, moved)], None, None))
-                pieces.update((d, p) for (d, p), m in zip(listed, moved) if m)
+                pieces.update((d, p) for (d, p), m in zip(listed, moved) if m and d not in sent)
                 number += 1
                 size += len(media)
                 if size > 1 << 22:
                     yield emit(own, at, rows, pieces)
+                    sent.update(pieces)
                     at, rows, pieces, size = [], [], {}, 0
             if rows:
                 yield emit(own, at, rows, pieces)
+                sent.update(pieces)
 
     def emit(own, at, rows, pieces):
         rows = rows + [(None, None, None, None, None, d, p) for d, p in pieces.items()]
@@ -173,22 +188,22 @@ def store_media(docs: DataFrame, shared: Near | None) -> DataFrame:
     return docs.select("_doc", "_text").mapInArrow(run, schema)
 
 
-def restore_media(media: DataFrame, names: list[str]) -> DataFrame:
-    """``_doc`` and FEATURES of (_doc, _n_bytes, _sha256, _parts) once all parts are there."""
+def restore_media(media: DataFrame, of: str) -> DataFrame:
+    """The column ``of`` and FEATURES of (of, _n_bytes, _sha256, _parts) once all parts are there."""
 
     def run(batches):
         for batch in batches:
             rows = []
             for n, sha, parts in zip(batch.column("_n_bytes").to_pylist(), batch.column("_sha256").to_pylist(), batch.column("_parts")):
-                parts = parts.as_py()
-                whole = b"".join(parts)
+                pieces = [unpack(p.as_buffer()) for p in parts.values]
+                whole = b"".join(pieces)
                 if hashlib.sha256(whole).digest() != sha:
                     raise ValueError("a medium differs from its digest after its chunks were put together")
-                rows.append(features(whole, n, len(parts)))
-            yield pa.RecordBatch.from_arrays([batch.column("_doc"), *_feature_arrays(rows)], names=["_doc", *_FEATURE_NAMES])
+                rows.append(features(whole, n, len(pieces)))
+            yield pa.RecordBatch.from_arrays([batch.column("_of"), *_feature_arrays(rows)], names=["_of", *_FEATURE_NAMES])
 
-    schema = T.StructType([T.StructField("_doc", media.schema["_doc"].dataType), *T._parse_datatype_string(FEATURES).fields])
-    return media.select("_doc", "_n_bytes", "_sha256", "_parts").mapInArrow(run, schema).select(*[F.col("_doc").getField(f"c{k}").alias(c) for k, c in enumerate(names)], *_FEATURE_NAMES)
+    schema = T.StructType([T.StructField("_of", media.schema[of].dataType), *T._parse_datatype_string(FEATURES).fields])
+    return media.select(F.col(of).alias("_of"), "_n_bytes", "_sha256", "_parts").mapInArrow(run, schema).withColumnRenamed("_of", of)
 
 
 def media_columns(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -196,13 +211,23 @@ def media_columns(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...]
     names = [c for c in keep if c not in _FEATURE_NAMES]
     packed = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
     base = docs.select(packed.alias("_doc"), F.col(text_col).alias("_text"))
-    stored = materialize(store_media(base, shared_chunks(docs, text_col)), "media", compression="zstd")
-    media = stored.where("_row is not null")
-    alone = media.where("not exists(_parts, p -> p is null)")
-    linked = media.where("exists(_parts, p -> p is null)")
-    store = materialize(stored.where("_digest is not null").groupBy("_digest").agg(F.min("_bytes").alias("_bytes")), "chunk-store", compression="zstd")
-    wanted = linked.select("_row", F.posexplode(F.arrays_zip("_digests", "_parts")).alias("_seq", "_p")).where("_p._parts is null").select("_row", "_seq", F.col("_p._digests").alias("_digest"))
-    fetched = wanted.join(store, "_digest").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_seq", "_bytes"))).alias("_fetched"))
+    stored = materialize(store_media(base, shared_chunks(docs, text_col)), "media")
+    release(docs.sparkSession)
+    store = stored.where("_digest is not null").groupBy("_digest").agg(F.min("_bytes").alias("_bytes"))
+    media = stored.where("_row is not null").withColumn("_lacks", F.expr("size(filter(_parts, p -> p is null))"))
+    alone = media.where("_lacks = 0")
+    # a medium that occurs again has all its chunks in the store: of these each is put together once
+    again = media.where("_lacks = size(_parts)").select("_doc", "_sha256", "_n_bytes", "_row", "_digests")
+    firsts = again.groupBy("_sha256", "_n_bytes").agg(F.min(F.struct("_row", "_digests")).alias("_first")).select("_sha256", "_n_bytes", "_first._row", "_first._digests")
+    firsts = materialize(firsts.withColumn("_parts", F.expr("transform(_digests, d -> cast(null as binary))")), "media-again")
+    mixed = media.where("_lacks > 0 and _lacks < size(_parts)")
+    one = lambda df: df.select("_row", F.posexplode(F.arrays_zip("_digests", "_parts")).alias("_seq", "_p")).where("_p._parts is null").select("_row", "_seq", F.col("_p._digests").alias("_digest"))
+    fetched = one(firsts).unionAll(one(mixed)).join(store, "_digest").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_seq", "_bytes"))).alias("_fetched"))
+    fetched = materialize(fetched, "media-parts")
+    release(docs.sparkSession)
     filled = F.expr("transform(_parts, (p, i) -> coalesce(p, _fetched[i]))").alias("_parts")
-    whole = linked.join(fetched, "_row").select("_doc", "_n_bytes", "_sha256", filled)
-    return restore_media(alone, names).unionAll(restore_media(whole, names))
+    whole = mixed.join(fetched, "_row").select("_doc", "_n_bytes", "_sha256", filled)
+    told = materialize(restore_media(firsts.join(fetched, "_row").select("_n_bytes", "_sha256", filled), "_sha256"), "media-told")
+    others = [F.col("_doc").getField(f"c{k}").alias(c) for k, c in enumerate(names)]
+    parts = (restore_media(alone, "_doc"), restore_media(whole, "_doc"), again.select("_doc", "_sha256").join(told, "_sha256"))
+    return reduce(DataFrame.unionAll, [p.select(*others, *_FEATURE_NAMES) for p in parts])
