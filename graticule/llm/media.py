@@ -4,7 +4,7 @@ A payload is stored as a sound file of 8-bit samples (RIFF/WAVE, one channel, PC
 stored bytes are cut where a rolling gear hash has its low bits clear, so equal stretches give equal chunks
 wherever they lie. Digests of all chunks are counted; those that occur more than once make up the shared
 store, which keeps each chunk's bytes once. Every medium is written as the ordered list of its chunks: the digest of
-each, and its bytes where it occurs once, so only shared bytes are moved. The table is read back; shared chunks are
+a shared one, the packed bytes of others, so only shared bytes are moved. The table is read back; shared chunks are
 joined to the lists by digest; each medium is put together from its list, held against its own digest, decoded, and
 its features are taken from what was read back.
 
@@ -43,7 +43,7 @@ RATE = 8000
 HEADER = struct.Struct("<4sI4s4sIHHIIHH4sI")
 LEAST, MEAN_BITS, MOST = 256, 10, 8192
 #: Chunks lie packed in the store and in the lists.
-PACK, UNPACK = zstandard.ZstdCompressor(level=3, write_checksum=False), zstandard.ZstdDecompressor()
+PACK, UNPACK = zstandard.ZstdCompressor(level=6, write_checksum=False), zstandard.ZstdDecompressor()
 GEAR = (BYTE_KEYS >> np.uint64(32)).astype(np.uint32)
 
 
@@ -166,7 +166,7 @@ def store_media(docs: DataFrame, shared: Near | None) -> DataFrame:
                 listed = [(d, pack(p)) for d, p in chunks(media)]
                 moved = shared.test(np.array([_slot(d) for d, _ in listed], dtype=np.int64)) if shared else np.ones(len(listed), dtype=bool)
                 at.append(i)
-                rows.append((number, len(text), hashlib.sha256(media).digest(), [d for d, _ in listed], [None if m else p for (_, p), m in zip(listed, moved)], None, None))
+                rows.append((number, len(text), hashlib.sha256(media).digest(), [d if m else None for (d, _), m in zip(listed, moved)], [None if m else p for (_, p), m in zip(listed, moved)], None, None))
                 pieces.update((d, p) for (d, p), m in zip(listed, moved) if m and d not in sent)
                 number += 1
                 size += len(media)
