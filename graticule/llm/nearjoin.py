@@ -641,8 +641,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def _components(live: DataFrame) -> DataFrame | None:
     """(node, root) of the documents of ``live`` that link; None if none does."""
-    equal = live.groupBy("n", "k1", "k2").agg(F.min("doc").alias("x"), F.count("*").alias("members")).where("members > 1")
-    equal = materialize(live.select("doc", "n", "k1", "k2").join(equal, ["n", "k1", "k2"]).where("doc <> x").select("x", F.col("doc").alias("y"), "n", "k1", "k2").distinct(), "equal-sets")
+    # equal sets have no members of their own; the keys are of shared members only
+    equal = live.where("u = 0").groupBy("n", "k1", "k2").agg(F.min("doc").alias("x"), F.count("*").alias("members")).where("members > 1")
+    equal = materialize(live.where("u = 0").select("doc", "n", "k1", "k2").join(equal, ["n", "k1", "k2"]).where("doc <> x").select("x", F.col("doc").alias("y"), "n", "k1", "k2").distinct(), "equal-sets")
     parts = None if equal.isEmpty() else _merge(equal, None)
     others = equal.select(F.col("y").alias("doc"), "n", "k1", "k2")
     live = live.join(others, ["doc", "n", "k1", "k2"], "left_anti")

@@ -132,3 +132,10 @@ def test_clashing_columns_are_kept(spark):
     df = spark.createDataFrame([(1, "a b c d e f", 7, 8), (2, "a b c d e f", 9, 10), (3, "x", 11, 12)], "doc_id long, text string, _taken int, node int")
     kept = nearjoin.drop_near_duplicates(df.unionAll(df.where("doc_id = 3")))
     assert sorted(map(tuple, kept.collect())) == [(1, "a b c d e f", 7, 8), (3, "x", 11, 12)]
+
+
+def test_equal_shared_members_are_not_equal_sets(spark):
+    """Both have 100 members, share the same 85 and have 15 of their own: 85 of 115."""
+    passage = " ".join(f"p{k}" for k in range(89))
+    rows = [(1, passage + "".join(f" a{k}" for k in range(15))), (2, passage + "".join(f" b{k}" for k in range(15)))]
+    assert found(spark, rows) == brute(rows) == {1: (100, 1), 2: (100, 2)}
