@@ -8,7 +8,7 @@ A leaf reads whole seeded epochs of its documents, then a prefix, in tokens, of
 
 All arithmetic is on integers, so the result does not hang on the order of additions. The prefix's end is
 found from sums over hash ranges: documents of one range only, not of the leaf, are put in order, so a leaf
-with a third of all rows stays spread.
+with a third of all rows stays spread. There are about as many ranges as documents in each.
 
 Defined results: texts of any length are counted whole; documents whose places tie are ordered by id; null levels are a node of their own; documents without tokens are never chosen; rows
 that share an id and leaf are one unit (a unit cut by the prefix's end shares the rest in proportion, rounded
@@ -23,7 +23,7 @@ from pyspark.sql import window as W
 
 from .workspace import materialize
 
-RANGES = 512
+LEAST_RANGE_BITS = 9
 HASH_BITS = 60
 DEC = "decimal(38,0)"
 
@@ -96,13 +96,16 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]] | None = None, perce
     names = [f"_{k}" for k in levels]
     kept = [c for c in docs.columns if (keep is None or c in keep) and c not in ("mix_epoch", "mix_tokens")]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_doc"), F.col(id_col).alias("_id"), *[c.alias(f"_{k}") for k, c in levels.items()], count_tokens(F.col(text_col)).alias("tokens"))
-    units = materialize(packed.drop("_doc"), "mix-tokens").where("tokens > 0")
-    leaves = materialize(units.groupBy(*names).agg(F.sum("tokens").alias("tokens")), "mix-leaves")
-    total = int(leaves.agg(F.sum(F.col("tokens").cast(DEC))).first()[0] or 0) * int(percent) // 100
+    slim = text_col not in kept  # rows without their texts are written with their counts; texts are rather counted twice than copied
+    units = materialize(packed if slim else packed.drop("_doc"), "mix-tokens").where("tokens > 0")
+    leaves = materialize(units.groupBy(*names).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")), "mix-leaves")
+    tokens, largest = leaves.agg(F.sum(F.col("tokens").cast(DEC)), F.max("docs")).first()
+    total = int(tokens or 0) * int(percent) // 100
+    range_bits = max(LEAST_RANGE_BITS, ((largest or 1).bit_length() + 1) // 2)
     plan = leaf_budgets(leaves, names, total, {f"_{k}": v for k, v in (weights or {}).items()}, max_epochs)
     plan = materialize(plan.withColumn("whole", F.expr("share div tokens")).withColumn("rest", F.expr("share % tokens")).select(*names, "whole", "rest"), "mix-plan")
-    plan = materialize(plan.join(prefix_ends(units, plan, names, seed), names, "left"), "mix-ends")  # as a table its size is known, and Spark broadcasts it or not
-    placed = packed.where("tokens > 0").join(plan, names)
+    plan = materialize(plan.join(prefix_ends(units.drop("_doc"), plan, names, seed, range_bits), names, "left"), "mix-ends")  # as a table its size is known, and Spark broadcasts it or not
+    placed = (units if slim else packed.where("tokens > 0")).join(plan, names)
     tie = F.coalesce(F.col("_id").cast("string"), F.lit(""))
     placed = placed.withColumns({"key": order_key(seed, F.col("whole"), F.col("_id")), "tie": tie})
     early = "end_key is not null and (key < end_key or (key = end_key and tie < end_tie))"
@@ -115,10 +118,10 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]] | None = None, perce
     return read.select(*others, F.col("_reading.epoch").alias("mix_epoch"), F.col("_reading.tokens").alias("mix_tokens"))
 
 
-def prefix_ends(units: DataFrame, plan: DataFrame, names: list[str], seed: int) -> DataFrame:
+def prefix_ends(units: DataFrame, plan: DataFrame, names: list[str], seed: int, range_bits: int = LEAST_RANGE_BITS) -> DataFrame:
     """names..., end_key, end_tie, end_rest, end_tokens: the unit of each leaf at which the prefix of its last epoch ends."""
     keyed = units.join(plan.where("rest > 0"), names).withColumn("key", order_key(seed, F.col("whole"), F.col("_id"))).withColumn("tie", F.coalesce(F.col("_id").cast("string"), F.lit("")))
-    keyed = keyed.withColumn("range", F.expr(f"shiftright(key, {HASH_BITS} - cast(log2({RANGES}) as int))"))
+    keyed = keyed.withColumn("range", F.shiftright("key", HASH_BITS - range_bits))
     sums = keyed.groupBy(*names, "range", "rest").agg(F.sum("tokens").alias("tokens"))
     along = W.Window.partitionBy(*names).orderBy("range").rowsBetween(W.Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("tokens").over(along), F.lit(0)))
