@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from .workspace import materialize, packed, unpacked
 
 #: The base patterns.
@@ -37,6 +38,8 @@ ENDPOINT = r"(?:https?://|(?<![A-Za-z0-9.-]))(?:[a-z0-9-]+\.)*(?:s3|sts|iam|ec2|
 REACH = 200
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "weak_id", "weak_secret")
+#: Matches of a text that are walked through at a time.
+BLOCK = 256
 
 
 def _spans(text: Column, pattern: str, kind: int, keep_if: Column | None = None) -> Column:
@@ -52,7 +55,14 @@ def _spans(text: Column, pattern: str, kind: int, keep_if: Column | None = None)
         one = F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind")))
         return F.struct(end.alias("at"), F.when(F.coalesce(p["keep"], F.lit(False)), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(pieces, F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    def walk(acc: Column, block: Column) -> Column:
+        found = F.aggregate(block, F.struct(acc["at"].alias("at"), empty.alias("out")), step)
+        return let(found, lambda w: F.struct(w["at"].alias("at"), F.concat(acc["out"], F.array(w["out"])).alias("out")))
+
+    # an array that grows by one match is copied each time, so it only grows within a block, and by whole blocks
+    blocks = let(pieces, lambda every: F.transform(F.sequence(F.lit(0), F.floor((F.size(every) - 1) / BLOCK).cast("int")), lambda k: F.slice(every, k * BLOCK + 1, BLOCK)))
+    none = F.array().cast("array<array<struct<start:bigint,end:bigint,kind:int>>>")
+    return F.aggregate(blocks, F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out")), walk, lambda acc: F.flatten(acc["out"]))
 
 
 def _where_found(text: Column, pattern: str, spans: Column) -> Column:

@@ -70,6 +70,15 @@ def test_weak_parts_link_at_every_offset_in_reach(spark):
     assert [[s for s in rows[i].split(",") if s.startswith("weak")] for i in range(len(texts))] == want
 
 
+def test_thousands_of_matches_in_a_text(spark):
+    """More matches than are walked through at a time, some of them too short, with a remainder and without."""
+    texts = [" é".join(f"token={'Z' * (6 + k % 5)} AKIA{'B' * (11 + k % 3)}" for k in range(n)) for n in (secrets.BLOCK - 1, secrets.BLOCK, 3 * secrets.BLOCK + 5, 20_000)]
+    rows = {r.doc_id: r for r in secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        named = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(secret_base(text)))
+        assert (rows[i].spans, rows[i].base_sha256) == (named, sha(named))
+
+
 def test_secrets_of_nothing(spark):
     assert secrets.scan_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     twice = spark.createDataFrame([(1, "x"), (1, "x"), (None, "x")], "doc_id long, text string")
